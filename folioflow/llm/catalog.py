@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import mixing, pieces, tokens
+from folioflow.llm import mixing, neighbors, pieces, tokens
 from folioflow.session import read_table as t
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.similar_pairs(t(spark, sf, "docs_indexed"))
+
+
+def p3_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.nearest_neighbors(t(spark, sf, "docs_indexed"))
+
+
 def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(t(spark, sf, "corpus"))
 
@@ -40,7 +48,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_counts, p4_budget, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
+    f.__name__: f for f in (p3_found, p3_neighbors, p4_counts, p4_budget, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
 }
 
 SQL: dict[str, str] = {
