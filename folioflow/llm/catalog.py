@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import mixing, neighbors, pieces, tokens
+from folioflow.llm import encoding, mixing, neighbors, pieces, tokens
 from folioflow.session import read_table as t
 
 
@@ -26,6 +26,14 @@ def p4_budget(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_budget(t(spark, sf, "corpus"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.garbled_records(t(spark, sf, "corpus"))
+
+
+def p5_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.repair_texts(t(spark, sf, "corpus"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_texts(t(spark, sf, "documents"), "doc_id")
 
@@ -48,7 +56,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_neighbors, p4_counts, p4_budget, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
+    f.__name__: f for f in (p3_found, p3_neighbors, p4_counts, p4_budget, p5_found, p5_texts, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
 }
 
 SQL: dict[str, str] = {
