@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import encoding, mixing, neighbors, pieces, tokens
+from folioflow.llm import encoding, lookalike, mixing, neighbors, pieces, tokens
 from folioflow.session import read_table as t
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.same_look_pairs(t(spark, sf, "corpus"), t(spark, sf, "toc"))
+
+
+def p1_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.canonical_texts(t(spark, sf, "corpus"), t(spark, sf, "toc"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.similar_pairs(t(spark, sf, "docs_indexed"))
 
@@ -56,7 +64,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_neighbors, p4_counts, p4_budget, p5_found, p5_texts, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_texts, p3_found, p3_neighbors, p4_counts, p4_budget, p5_found, p5_texts, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
 }
 
 SQL: dict[str, str] = {
