@@ -9,7 +9,6 @@ four-bit table scans score all vectors of the cell, and the best ``rerank`` of t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,9 @@ CELL_ROWS = 2000
 PROBES = 4
 RERANK = 32
 #: The index is fitted on about this many rows, taken by a hash of their id; all rows are indexed.
-SAMPLE_ROWS = 65_536
+SAMPLE_ROWS = 40_000
+#: The code words are fitted on this many rows of the sample.
+CODE_ROWS = 10_000
 WORDS = 16
 #: Score threshold of the anisotropic loss, from which its weight follows.
 THRESHOLD = 0.2
@@ -76,8 +77,9 @@ class Quantizer:
         self.sub = sub
         self.m = -(-d // sub)
         self.eta = max((d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2), 1.0)
-        x = self._pad(sample)
-        res = x - self._pad(self.centers)[self.nearest(sample, 1)[:, 0]]
+        part = sample[:CODE_ROWS]
+        x = self._pad(part)
+        res = x - self._pad(self.centers)[self.nearest(part, 1)[:, 0]]
         rng = np.random.default_rng(3)
         first = res[rng.choice(len(res), WORDS, replace=len(res) < WORDS)]
         self.words = np.ascontiguousarray(first.reshape(WORDS, self.m, sub).transpose(1, 0, 2))
@@ -186,20 +188,31 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(data, np.int16).reshape(len(column), dims)
 
 
-def fit(vectors: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, probes: int = PROBES):
+def packed(vectors: DataFrame, dims: int) -> DataFrame:
+    """``id, vec``: rows of ``dims`` numbers that have a direction, as 16-bit fixed point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = np.diff(batch.column(1).offsets.to_numpy())
+            keep = np.flatnonzero(width == dims)
+            batch = batch.take(pa.array(keep))
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            unit, good = unit_rows(flat.reshape(len(keep), dims))
+            keep = np.flatnonzero(good)
+            vecs = pa.array([r.tobytes() for r in pack(unit[keep])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), vecs], names=["id", "vec"])
+
+    return vectors.mapInArrow(run, "id string, vec binary")
+
+
+def fit(fixed: DataFrame, dims: int, rows: int, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, probes: int = PROBES):
     """A quantiser fitted on a bounded sample, and the groups that each cell is divided into."""
     share = min(1.0, sample_rows / max(rows, 1))
-    part = vectors.where(F.abs(F.xxhash64("id", F.lit(17)) % F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).select("embedding")
-    lists = [r.embedding for r in part.limit(2 * sample_rows).collect()]
-    widths = Counter(map(len, lists))
-    if not widths:
+    part = fixed.where(F.abs(F.xxhash64("id", F.lit(17)) % F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).select("vec")
+    taken = part.limit(sample_rows).toArrow()["vec"]
+    if not len(taken):
         return None
-    dims = max(widths, key=lambda w: (widths[w], w))
-    unit, good = unit_rows(np.array([x for x in lists if len(x) == dims], np.float32).reshape(-1, dims))
-    unit = np.unique(pack(unit[good]), axis=0)
-    if not len(unit) or not dims:
-        return None
-    unit = unpack(unit)
+    unit = unpack(np.unique(_matrix(taken, dims), axis=0))
     unit = unit[np.random.default_rng(1).permutation(len(unit))]
     cells = int(min(max(1, -(-rows // cell_rows)), max(1, len(unit) // 4)))
     quant = Quantizer(unit, cells)
@@ -215,36 +228,20 @@ def nearest_neighbors(
 ) -> DataFrame:
     """``id, rank, neighbor_id, similarity``: the ``k`` other ids with the largest cosine to each id.
 
-    Null, empty, all-zero and non-finite embeddings take no part, nor do those of another length than most (of the
-    sample).  Lengths other than 1 make no difference.  Equal similarities rank by id, so of many copies of a vector
+    Null, empty, all-zero and non-finite embeddings take no part, nor do those of another length than most.  Lengths other than 1 make no difference.  Equal similarities rank by id, so of many copies of a vector
     each gets the first ``k`` others; copies of an id are one id.  Fewer rows than ``k`` come out where fewer ids exist.
     Similarities are exact to 1e-5; a neighbour is missed if its cell is not among the ``probes`` best of the query or
     if the quantised score ranks it behind ``rerank`` others of its cell (recall is measured in the tests and README).
     """
     vectors = docs.select(F.col("id").cast("string").alias("id"), "embedding").where("id is not null and embedding is not null and size(embedding) > 0")
     spark = docs.sparkSession
-    empty = spark.createDataFrame([], "id string, rank int, neighbor_id string, similarity double")
-    rows = vectors.count()
-    model = fit(vectors, rows, sample_rows, cell_rows, probes) if rows else None
+    usual = vectors.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    model = fit(packed(vectors, usual.dims), usual.dims, usual["count"], sample_rows, cell_rows, probes) if usual else None
     if model is None:
-        return empty
-    quant, n_base, n_asked = model
-    dims = quant.dims
-    shared = spark.sparkContext.broadcast((quant, n_base, n_asked))  # of a size bounded by sample_rows / 4 cells
-
-    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            width = np.diff(lists.offsets.to_numpy())
-            keep = np.flatnonzero(width == dims)
-            batch = batch.take(pa.array(keep))
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            unit, good = unit_rows(flat.reshape(len(keep), dims))
-            keep = np.flatnonzero(good)
-            fixed = pack(unit[keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([r.tobytes() for r in fixed], pa.binary())], names=["id", "vec"])
-
-    fixed = vectors.mapInArrow(normalise, "id string, vec binary").withColumn("vkey", F.xxhash64("vec"))
+        return spark.createDataFrame([], "id string, rank int, neighbor_id string, similarity double")
+    dims = usual.dims
+    shared = spark.sparkContext.broadcast(model)  # of a size bounded by sample_rows / 4 cells
+    fixed = packed(vectors, dims).withColumn("vkey", F.xxhash64("vec"))
     # of a vector's ids only the first k + 1 can be anyone's neighbours
     firsts = fixed.withColumn("rn", F.row_number().over(W.partitionBy("vkey").orderBy("id"))).where(F.col("rn") <= k + 1)
     reps = firsts.groupBy("vkey").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
