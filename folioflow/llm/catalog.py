@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import encoding, lookalike, mixing, neighbors, pieces, tokens
+from folioflow.llm import encoding, language, lookalike, mixing, neighbors, pieces, tokens
 from folioflow.session import read_table as t
 
 
@@ -18,6 +18,14 @@ def p1_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical_texts(t(spark, sf, "corpus"), t(spark, sf, "toc"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.wrong_labels_and_segments(t(spark, sf, "corpus"))
+
+
+def p2_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return language.language_segments(t(spark, sf, "corpus"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.similar_pairs(t(spark, sf, "docs_indexed"))
 
@@ -64,7 +72,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p3_found, p3_neighbors, p4_counts, p4_budget, p5_found, p5_texts, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_segments, p3_found, p3_neighbors, p4_counts, p4_budget, p5_found, p5_texts, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
 }
 
 SQL: dict[str, str] = {

@@ -44,6 +44,7 @@ SUSPECT = (
     "\u02c6-\u02dd\u0401-\u0491\u2500-\u25a0\ufffd]|[\u0637-\u063a][\u0637-\u063a\u0679-\u06ff\u2010-\u203a\u20ac\u2122\u00a0-\u00bf]{3}"
     "|[\u0621-\u064a\u0671-\u06d3][\u00a7\u00ab\u00b0-\u00b3\u00b7\u00bb\u00d7\u2030\u2122](?![\\s\\u0600-\\u06ff])|\\?\\?|&[#a-zA-Z]"
 )
+_ODD = re.compile(SUSPECT[: SUSPECT.index("]") + 1])
 #: Three letters in a row that an Arabic single-byte text could have turned into.
 _UPPER_WORD = re.compile("[\u00c0-\u00ff\u0401-\u0491\u0152-\u0178\u0192\u02c6-\u02dd\u2500-\u259f]{3}")
 
@@ -128,14 +129,17 @@ class Repair:
         return new if self.cost(new) + LEAST_LETTERS * STEP < self.cost(stretch) else stretch
 
     def moves(self, text: str) -> Iterator[tuple[str, str]]:
-        """Operations that change the text; single-byte ones only where no reading as UTF-8, which checks itself, explains all."""
-        explained = False
+        """Operations that change the text.  Reading as UTF-8 checks itself: where one explains all suspects no other
+        encoding is tried, and where one explains most no single-byte one is."""
+        odd, most = len(_ODD.findall(text)), False
         for name in WRONG:
             pattern = utf8_runs(name)
             if pattern.search(text) and (new := pattern.sub(lambda m: self._run(name, m.group()), text)) != text:
-                explained |= not self.gate.search(new)
                 yield f"{name}>utf_8", new
-        if not explained and _UPPER_WORD.search(text):
+                if not self.gate.search(new):
+                    return
+                most |= len(_ODD.findall(new)) < 0.5 * odd
+        if not most and _UPPER_WORD.search(text):
             for name in WRONG:
                 if name != "cp1256":
                     for right in RIGHT:
