@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import encoding, language, lookalike, mixing, neighbors, pieces, tokens
+from folioflow.llm import encoding, language, lookalike, mixing, neighbors, pieces, scans, tokens
 from folioflow.session import read_table as t
 
 
@@ -50,6 +50,14 @@ def p5_texts(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.repair_texts(t(spark, sf, "corpus"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.defect_kinds(t(spark, sf, "corpus"), t(spark, sf, "toc"))
+
+
+def p6_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.clean_scans(t(spark, sf, "corpus"), t(spark, sf, "toc"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_texts(t(spark, sf, "documents"), "doc_id")
 
@@ -72,7 +80,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_segments, p3_found, p3_neighbors, p4_counts, p4_budget, p5_found, p5_texts, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
+    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_segments, p3_found, p3_neighbors, p4_counts, p4_budget, p5_found, p5_texts, p6_found, p6_texts, p7_ids, p7_decoded, p8_mix, p8_shares, p9_pieces)
 }
 
 SQL: dict[str, str] = {

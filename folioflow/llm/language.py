@@ -37,8 +37,8 @@ def split_sentences(text: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a word in lower case, without joiners."""
-    w = word.lower().replace("‌", "").replace("‍", "")
+    """Hashed features of a word in compatible form and lower case (so without joiners)."""
+    w = compatible(word).lower() or word
     script = "a" if "؀" <= w[0] <= "ۿ" else "l" if w[0] < "԰" else "o"
     parts = [f"s{script}", f"w{w}"]
     for n in (1, 2, 3):
@@ -205,7 +205,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Field:
     one, each sentence takes the language that all its words together speak for, and the field is fitted on sequences of
     such sentences, some of one language and some of several."""
     words, field = Words(), Field()
-    texts = [[s for s in (np.array([words[w] for w in WORD.findall(x)], np.int64) for x in split_sentences(compatible(text))) if len(s)] for text, _ in rows]
+    texts = [[s for s in (np.array([words[w] for w in WORD.findall(x)], np.int64) for x in split_sentences(text)) if len(s)] for text, _ in rows]
     sentences = [x for s in texts for x in s]
     if not sentences:
         return field
@@ -246,8 +246,6 @@ class Labeller:
             if text:
                 if odd:
                     text = self.repair.judge(text)[1]
-                if not text.isascii():
-                    text = compatible(text)
                 for sentence in split_sentences(text):
                     found = WORD.findall(sentence)
                     size.append(len(found))
