@@ -27,7 +27,7 @@ MAX_WORDS = 300_000
 #: What is shorter goes with the sentence before it (or after, at the beginning).
 LEAST_WORDS, LEAST_LETTERS = 2, 6
 
-WORD = re.compile(r"[^\W\d_][\w‌‍ً-ٰٟ]*")
+WORD = re.compile(r"[^\W\d_][\w\u200c\u200dً-ٰٟ]*")
 SENTENCE_END = re.compile(r"(?<=[.!?؟۔])[\"'”’»)\]]*\s+")
 
 
@@ -39,7 +39,7 @@ def split_sentences(text: str) -> list[str]:
 def features(word: str) -> list[int]:
     """Hashed features of a word in compatible form and lower case (so without joiners)."""
     w = compatible(word).lower() or word
-    script = "a" if "؀" <= w[0] <= "ۿ" else "l" if w[0] < "԰" else "o"
+    script = "a" if "\u0600" <= w[0] <= "ۿ" else "l" if w[0] < "԰" else "o"
     parts = [f"s{script}", f"w{w}"]
     for n in (1, 2, 3):
         parts += [f"p{w[:n]}", f"e{w[-n:]}"]

@@ -34,7 +34,7 @@ def boundaries(text: str, words: list[str], counts: np.ndarray) -> np.ndarray:
         if i + 1 < len(words):
             after = words[i + 1]
             blanks = after[: len(after) - len(after.lstrip())]
-            if blanks.count("\n") > 1 or blanks.count("\r") > 1 or " " in blanks or "\x0c" in blanks:
+            if blanks.count("\n") > 1 or blanks.count("\r") > 1 or "\u2029" in blanks or "\x0c" in blanks:
                 kind[i] = PARAGRAPH
                 continue
         if word.rstrip(CLOSERS)[-1:] in SENTENCE_ENDS and word.strip():

@@ -42,7 +42,7 @@ _INNER = re.compile(r"[^\W\d_][0-9|*†ںٮڡ،,]+[^\W\d_]")
 #: The price of taking such a word for right.
 INNER_PRICE = 8.0
 
-_EDGE = ".,:;!?()«»“”\"'’‘،؛؟…[]{}–—-‐¬­"
+_EDGE = ".,:;!?()«»“”\"'’‘،؛؟…[]{}–—-‐¬\u00ad"
 _SEEN = re.compile("|".join(re.escape(s) for s, _, _ in CONFUSIONS))
 _DIGITS = "0-9۰-۹٠-٩"
 _NUMBER = rf"[{_DIGITS}]{{1,4}}"
@@ -53,9 +53,9 @@ _PAGE = re.compile(
 )
 _NUMBERED = re.compile(rf"^(?:[{_DIGITS}]+\s*[).]|[{_DIGITS}]+\s*[-:]\s*[{_DIGITS}])")
 _PLAIN = re.compile(rf"^[{_DIGITS}]+$")
-_ANSWERS = re.compile(r"^(?:answers?|keys?|solutions?|results?|پاسخ(?:‌?ها)?|جواب(?:‌?ها)?|ځواب(?:ونه)?|الأ?جوبة|الاجوبة|الإجابات|الحلول|پایلې)\s*:?$", re.IGNORECASE)
+_ANSWERS = re.compile(r"^(?:answers?|keys?|solutions?|results?|پاسخ(?:\u200c?ها)?|جواب(?:\u200c?ها)?|ځواب(?:ونه)?|الأ?جوبة|الاجوبة|الإجابات|الحلول|پایلې)\s*:?$", re.IGNORECASE)
 _LINE_END = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
-_BREAK = re.compile("[^\\W\\d_]([-‐‑¬­])$")
+_BREAK = re.compile("[^\\W\\d_]([-‐‑¬\u00ad])$")
 
 
 def words_of(line: str) -> list[str]:

@@ -5,7 +5,7 @@ import pytest
 from folioflow.llm import encoding
 from folioflow.llm.charmodel import char_costs, pair_table
 
-FA = "در این درس ماتریس را پیش از لگاریتم می‌آموزیم، زیرا بخش دوم بر بخش نخست استوار است."
+FA = "در این درس ماتریس را پیش از لگاریتم می\u200cآموزیم، زیرا بخش دوم بر بخش نخست استوار است."
 PS = "د لوست د پلان له مخې، زده کوونکي ځینې وخت د فعل زمانه له استعارې سره ګډوي."
 AR = "ندرس العامل المشترك قبل المصفوفة لأن القسم الثاني يعتمد على القسم الأول."
 EN = "The teacher’s guide calls it a “naïve” résumé – it fell to −4 °C."

@@ -42,7 +42,7 @@ def found(spark):
     ids["misread"] = case(BODY.replace("hormone", "horrnone").replace("whether", "wliether"))
     ids["inner"] = case(BODY.replace("hormone", "Bela0mar"))
     ids["hyphen"] = case("The notes define the cell mem-\nbrane briefly and then give many solved problems.")
-    ids["soft"] = case("The notes define the cell mem­\n[180]\nBiology Grade 10   181\nbrane briefly and then give.")
+    ids["soft"] = case("The notes define the cell mem\u00ad\n[180]\nBiology Grade 10   181\nbrane briefly and then give.")
     for _ in range(3):
         case("This is a well-known long-term value.")
     ids["compound"] = case("This is a well-\nknown value of the cell.")

@@ -19,7 +19,7 @@ def library():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" '\n\tsre1aدی‌é  "))))
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" '\n\tsre1aدی\u200cé  "))))
 def test_transducer_equals_library(text):
     import tiktoken
 
@@ -43,8 +43,8 @@ def test_long_runs_and_forgotten_states(name, library):
 
 def test_streaming_decode_holds_back_half_characters():
     enc = encoder()
-    parts = list(enc.decode_stream(enc.encode("ښ‌😀é")))
-    assert "".join(parts) == "ښ‌😀é" and all("�" not in p for p in parts)
+    parts = list(enc.decode_stream(enc.encode("ښ\u200c😀é")))
+    assert "".join(parts) == "ښ\u200c😀é" and all("�" not in p for p in parts)
 
 
 def test_ids_of_null_empty_repeated_and_extra_columns(spark):
