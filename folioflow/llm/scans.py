@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from unicodedata import combining
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,9 +60,33 @@ _LINE_END = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
 _BREAK = re.compile("[^\\W\\d_]([-‐‑¬\u00ad])$")
 
 
+class _Plain(dict):
+    """Token -> word in compatible form without the punctuation around it; kept while there are not too many."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        word = token.strip(_EDGE)
+        self[token] = word = word if word.isascii() else compatible(word)
+        return word
+
+
+_PLAIN_WORDS = _Plain()
+
+
 def words_of(line: str) -> list[str]:
     """Words of a line in compatible form and lower case, without the punctuation around them: maybe an empty string."""
-    return [compatible(w.strip(_EDGE)) if not w.isascii() else w.strip(_EDGE) for w in line.lower().split()]
+    return list(map(_PLAIN_WORDS.__getitem__, line.lower().split()))
+
+
+class _Ids(dict):
+    """Word -> id of a common word; -1 for others that may be misread, -2 for what is never looked at."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > COMMON + 300_000:
+            return -1 if len(word) > 2 and _SEEN.search(word) else -2
+        self[word] = kind = -1 if len(word) > 2 and _SEEN.search(word) else -2
+        return kind
 
 
 def split_lines(text: str) -> list[str]:
@@ -70,7 +96,7 @@ def split_lines(text: str) -> list[str]:
 def page_lines(lines: list[str]) -> list[bool]:
     """Which lines are page numbers: a number in a line of its own, in whatever dress; not an answer or exercise number."""
     stripped = [line.strip() for line in lines]
-    number = [bool(s) and bool(_PAGE.match(s)) and not _NUMBERED.match(s) for s in stripped]
+    number = [0 < len(s) < 200 and bool(_PAGE.match(s)) and not _NUMBERED.match(s) for s in stripped]
     out = number[:]
     listing = False
     full = [k for k, s in enumerate(stripped) if s]
@@ -187,27 +213,27 @@ class Reader:
         return split_lines(text)
 
 
-def word_counts(corpus: DataFrame, costs: dict[str, float]) -> DataFrame:
+def word_counts(corpus: DataFrame) -> DataFrame:
     """``word, n`` over all texts; counted in each task before the shuffle."""
-    shared = corpus.sparkSession.sparkContext.broadcast(costs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(shared.value), Counter()
+        total: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+            words: Counter = Counter()
+            for token, n in total.items():
+                words[_PLAIN_WORDS[token]] += n
             total.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text, suspect in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for line in reader.lines(text, suspect):
-                    total.update(words_of(line))
+            for text in batch.column(0).to_pylist():
+                total.update(text.lower().split())
             if len(total) > 300_000:
                 yield flush()
         yield flush()
 
-    counted = _texts(corpus).mapInArrow(count, "word string, n long")
+    counted = corpus.select("text").where("text is not null").mapInArrow(count, "word string, n long")
     return counted.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -248,17 +274,17 @@ def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs, common = shared.value
-        reader, ids = Reader(costs), {w: i for i, w in enumerate(common)}
-        pairs: Counter = Counter()
+        reader, ids = Reader(costs), _Ids({w: i for i, w in enumerate(common)})
         for batch in batches:
             rows: list[tuple] = []
+            seen = array("i")  # ids of all words in order, -2 between records
             for ord_, text, suspect, title in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = reader.lines(text, suspect)
                 several = len(lines) > 1
                 paged = page_lines(lines) if several else [False]
                 stray = stray_lines(lines, paged) if several else [False]
-                own = title_form(title) if title else None
-                last, last_id = "", -1
+                own = title_form(title) if several and title else None
+                last = ""
                 for i, line in enumerate(lines):
                     if paged[i]:
                         rows.append(("P", ord_, i, None, None, None, None, None, None))
@@ -277,21 +303,24 @@ def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str]) -> Dat
                         if after and after[0][0].isalpha():
                             left, right = compatible(line.rstrip().split()[-1].lower()[:-1]).lstrip(_EDGE), compatible(after[0].lower()).strip(_EDGE)
                             rows.append(("B", ord_, i, None, left, right, m.group(1), None, None))
-                    for j, word in enumerate(words):
-                        if not word:
-                            continue
-                        k = ids.get(word, -1)
-                        if k >= 0 and last_id >= 0:
-                            pairs[last_id * COMMON + k] += 1
-                        elif k < 0 and len(word) > 2 and _SEEN.search(word):
-                            after = next((w for w in words[j + 1 :] if w), "")
-                            rows.append(("W", ord_, i, j, word, last, after, None, None))
-                        last, last_id = word, k
+                    kinds_ = list(map(ids.__getitem__, words))
+                    seen.extend(kinds_)
+                    if -1 in kinds_:
+                        for j, k in enumerate(kinds_):
+                            if k == -1:
+                                before = next((w for w in reversed(words[:j]) if w), last)
+                                after = next((w for w in words[j + 1 :] if w), "")
+                                rows.append(("W", ord_, i, j, words[j], before, after, None, None))
+                    last = next((w for w in reversed(words) if w), last)
+                seen.append(-2)
             yield table(rows)
-            if len(pairs) > 500_000:
-                yield table([("G", None, None, None, None, None, None, k, n) for k, n in pairs.items()])
-                pairs.clear()
-        yield table([("G", None, None, None, None, None, None, k, n) for k, n in pairs.items()])
+            known = np.frombuffer(seen, np.int32).astype(np.int64) if seen else np.zeros(0, np.int64)
+            both = (known[:-1] >= 0) & (known[1:] >= 0)
+            keys, n = np.unique((known[:-1] * COMMON + known[1:])[both], return_counts=True)
+            empty = pa.nulls(len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["G"] * len(keys), pa.string()), *(empty.cast(k) for k in kinds[1:7]), pa.array(keys), pa.array(n.astype(np.int64))], names=names
+            )
 
     return _texts(corpus).mapInArrow(run, "kind string, ord int, line int, pos int, a string, b string, c string, key long, n long")
 
@@ -335,7 +364,7 @@ def scan_defects(corpus: DataFrame, toc: DataFrame, costs: dict[str, float] | No
     """
     spark = corpus.sparkSession
     costs = char_costs(corpus, F.col("text")) if costs is None else costs
-    counts = cut(word_counts(corpus, costs))
+    counts = cut(word_counts(corpus))
     fixes = cut(corrections(counts))
     usual = counts.join(fixes.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON).collect()
     common, common_n = [r.word for r in usual], {r.word: r.n for r in usual}
