@@ -1 +1 @@
-
+"""Operators: DataFrames to a DataFrame."""

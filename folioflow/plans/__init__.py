@@ -1 +1 @@
-
+"""Named queries over the table set and their SQL."""
