@@ -48,10 +48,12 @@ _EDGE = ".,:;!?()«»“”\"'’‘،؛؟…[]{}–—-‐¬\u00ad"
 _SEEN = re.compile("|".join(re.escape(s) for s, _, _ in CONFUSIONS))
 _DIGITS = "0-9۰-۹٠-٩"
 _NUMBER = rf"[{_DIGITS}]{{1,4}}"
+#: What may stand around a page number; question and replacement marks are lost text.
+_DRESS = r"(?:[^\w?؟\ufffd]|_)*"
 _ROMAN = r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 #: Words that stand with a page number, and words over a list of answers.
 _PAGE = re.compile(
-    rf"^[\W_]*(?:(?:page|pg\.?|p\.|صفحه|صفحة|ص\.?|مخ)\s*)?[\W_]*(?:{_NUMBER}|{_ROMAN})(?:\s*(?:/|of|از|من|له)\s*{_NUMBER})?\s*(?:مخ|صفحه|صفحة)?[\W_]*$", re.IGNORECASE
+    rf"^{_DRESS}(?:(?:page|pg\.?|p\.|صفحه|صفحة|ص\.?|مخ)\s*)?{_DRESS}(?:{_NUMBER}|{_ROMAN})(?:\s*(?:/|of|از|من|له)\s*{_NUMBER})?\s*(?:مخ|صفحه|صفحة)?{_DRESS}$", re.IGNORECASE
 )
 _NUMBERED = re.compile(rf"^(?:[{_DIGITS}]+\s*[).]|[{_DIGITS}]+\s*[-:]\s*[{_DIGITS}])")
 _PLAIN = re.compile(rf"^[{_DIGITS}]+$")
@@ -96,7 +98,7 @@ def split_lines(text: str) -> list[str]:
 def page_lines(lines: list[str]) -> list[bool]:
     """Which lines are page numbers: a number in a line of its own, in whatever dress; not an answer or exercise number."""
     stripped = [line.strip() for line in lines]
-    number = [0 < len(s) < 200 and bool(_PAGE.match(s)) and not _NUMBERED.match(s) for s in stripped]
+    number = [0 < len(s) < 60 and bool(_PAGE.match(s)) and not _NUMBERED.match(s) for s in stripped]
     out = number[:]
     listing = False
     full = [k for k, s in enumerate(stripped) if s]
