@@ -45,6 +45,8 @@ SUSPECT = (
     "|[\u0621-\u064a\u0671-\u06d3][\u00a7\u00ab\u00b0-\u00b3\u00b7\u00bb\u00d7\u2030\u2122](?![\\s\\u0600-\\u06ff])|\\?\\?|&[#a-zA-Z]"
 )
 _ODD = re.compile(SUSPECT[: SUSPECT.index("]") + 1])
+#: What every reading as UTF-8 has: two signs beyond ASCII in a row, at most one of them Arabic.
+_PAIR = re.compile("[^\x00-\x7f\u0600-\u06ff\u200c-\u200f]{2}|[\u0621-\u06d3][\x80-\xaa\xac-\xba\xbc-\xbf\u0152-\u0192\u02c6-\u02dc\u201a-\u201c\u201e-\u203a\u20ac\u2122]|[\u0637-\u063a][\u200c-\u200f\u2018-\u201d]")
 #: Three letters in a row that an Arabic single-byte text could have turned into.
 _UPPER_WORD = re.compile("[\u00c0-\u00ff\u0401-\u0491\u0152-\u0178\u0192\u02c6-\u02dd\u2500-\u259f]{3}")
 
@@ -131,6 +133,8 @@ class Repair:
     def moves(self, text: str) -> Iterator[tuple[str, str]]:
         """Operations that change the text.  Reading as UTF-8 checks itself: where one explains all suspects no other
         encoding is tried, and where one explains most no single-byte one is."""
+        if not _PAIR.search(text) and "&" not in text:
+            return
         odd, most = len(_ODD.findall(text)), False
         for name in WRONG:
             pattern = utf8_runs(name)

@@ -119,13 +119,19 @@ def page_lines(lines: list[str]) -> list[bool]:
     return out
 
 
+_DECKED = re.compile(rf"[*=~_•·|—–]|\s-\s|^[{_DIGITS}]|[{_DIGITS}]\W*$")
+_PAGED = re.compile(rf"^{_NUMBER}\s*[|•·]?\s+|\s+[|•·]?\s*{_NUMBER}$")
+_DASH = re.compile(r"\s+[—–|-]\s+")
+
+
 def header_form(line: str) -> list[str]:
     """Titles that a line may show: without ornaments, with and without a number at its begin or end; both parts around a dash."""
+    if not _DECKED.search(line):
+        return [title_form(line)]
     s = line.strip().strip("*=~_•· ").strip()
-    bare = re.sub(rf"^{_NUMBER}\s*[|•·]?\s+|\s+[|•·]?\s*{_NUMBER}$", "", s).strip("*|•· ").strip()
-    parts = {s, bare}
-    if re.search(r"\s[—–|-]\s", s):
-        parts |= set(re.split(r"\s+[—–|-]\s+", s))
+    parts = {s, _PAGED.sub("", s).strip("*|•· ").strip()}
+    if _DASH.search(s):
+        parts |= set(_DASH.split(s))
     return sorted({f for p in parts if (f := title_form(p))})
 
 
@@ -162,7 +168,7 @@ def stray_lines(lines: list[str], paged: list[bool]) -> list[bool]:
 
 
 def title_form(title: str) -> str:
-    return re.sub(r"\s+", " ", compatible(title)).lower().strip(" .:;*|—–-")
+    return " ".join((title if title.isascii() else compatible(title)).lower().split()).strip(" .:;*|—–-")
 
 
 def candidates(word: str) -> dict[str, float]:
@@ -274,9 +280,18 @@ def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str]) -> Dat
         columns = list(zip(*rows)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+    def pairs(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        empty = [pa.nulls(len(keys)).cast(k) for k in kinds[1:7]]
+        return pa.RecordBatch.from_arrays([pa.array(["G"] * len(keys), pa.string()), *empty, pa.array(keys), pa.array(n)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs, common = shared.value
         reader, ids = Reader(costs), _Ids({w: i for i, w in enumerate(common)})
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             rows: list[tuple] = []
             seen = array("i")  # ids of all words in order, -2 between records
@@ -318,11 +333,13 @@ def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str]) -> Dat
             yield table(rows)
             known = np.frombuffer(seen, np.int32).astype(np.int64) if seen else np.zeros(0, np.int64)
             both = (known[:-1] >= 0) & (known[1:] >= 0)
-            keys, n = np.unique((known[:-1] * COMMON + known[1:])[both], return_counts=True)
-            empty = pa.nulls(len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["G"] * len(keys), pa.string()), *(empty.cast(k) for k in kinds[1:7]), pa.array(keys), pa.array(n.astype(np.int64))], names=names
-            )
+            found.append(np.unique((known[:-1] * COMMON + known[1:])[both], return_counts=True))
+            if sum(len(k) for k, _ in found) > 2_000_000:
+                found = [summed(found)]
+                if len(found[0][0]) > 1_000_000:
+                    yield pairs(*found.pop())
+        if found:
+            yield pairs(*summed(found))
 
     return _texts(corpus).mapInArrow(run, "kind string, ord int, line int, pos int, a string, b string, c string, key long, n long")
 
