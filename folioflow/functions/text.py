@@ -150,11 +150,11 @@ def asked_chapter(text: Column) -> Column:
 
 def json_quoted(text: Column) -> Column:
     """A JSON string as the canonical form of record hashes has it: only quotes, backslashes and controls are escaped."""
-    t = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    t, short = plain, {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
     for code in range(1, 32):
         t = F.replace(t, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
-    return F.concat(F.lit('"'), t, F.lit('"'))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x01-\x1F]"), t).otherwise(plain), F.lit('"'))
 
 
 def chunk_id(parent: Column, index: Column, text: Column) -> Column:
