@@ -167,3 +167,22 @@ def record_id(source: Column, page: Column, index: Column, text: Column) -> Colu
     """Sixteen hex digits of the SHA-1 of source, page, paragraph number and the text's begin."""
     made = F.concat(source, F.lit(":p"), page.cast("string"), F.lit(":c"), index.cast("string"), F.lit(":"), F.substring(text, 1, 40))
     return F.substring(F.sha1(made), 1, 16)
+
+
+def script_ratio(text: Column) -> Column:
+    """Share of letters that are in the Arabic block; 0 where there is no letter."""
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    return F.coalesce(F.when(letters > 0, F.regexp_count(text, F.lit(r"[ء-يٮ-ۓەۮۯۺ-ۼۿ]")) / letters), F.lit(0.0))
+
+
+def ends_open(text: Column) -> Column:
+    """Whether the last character is none that ends a text; false for a null or blank one."""
+    t = F.regexp_replace(text, rf"[{BLANKS}]+$", "")
+    return F.coalesce(~F.right(t, F.lit(1)).isin(*".!?؟۔…:؛)]}»\"”") & (t != ""), F.lit(False))
+
+
+def leader_line(line: Column) -> tuple[Column, Column]:
+    """Title and page of a line of a table of contents with dots between them; both null for any other line."""
+    pattern = r"^\s*(.{2,}?)\s*(?:\.\s?){3,}\s*([0-9۰-۹٠-٩]{1,4})\s*$"
+    title, page = F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2)
+    return F.nullif(title, F.lit("")), positive_int(F.nullif(page, F.lit("")))

@@ -48,3 +48,21 @@ def value_counts(df: DataFrame, columns: dict[str, Column], top: int = 12) -> Da
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(c.cast("string"), F.lit("(null)")).alias("value")) for n, c in columns.items()])).alias("p"))
     counted = pairs.groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
     return counted.withColumn("rank", F.row_number().over(W.partitionBy("field").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
+
+
+def sessions(events: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
+    """``key, session, start, end, n``: runs of events of a key with at most ``gap_seconds`` between neighbours, numbered in order.
+
+    Events of a key are put in blocks of a day first; a session over midnight is put together from its parts of each day,
+    so that a hot key is ordered day by day and only its parts come together.
+    """
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, at.alias("_t")).withColumn("_day", F.floor(F.col("_t") / 86_400_000_000))
+    w = W.partitionBy(key, "_day").orderBy("_t")
+    new = F.coalesce((F.col("_t") - F.lag("_t").over(w) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
+    parts = rows.withColumn("_n", new).withColumn("_p", F.sum("_n").over(w))
+    parts = parts.groupBy(key, "_day", "_p").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.count("*").alias("_c"))
+    all_ = W.partitionBy(key).orderBy("_a")
+    parts = parts.withColumn("_n", F.coalesce((F.col("_a") - F.lag("_b").over(all_) > gap_seconds * 1_000_000).cast("int"), F.lit(1))).withColumn("session", F.sum("_n").over(all_).cast("int"))
+    got = parts.groupBy(key, "session").agg(F.min("_a").alias("a"), F.max("_b").alias("b"), F.sum("_c").alias("n"))
+    return got.select(key, "session", F.timestamp_micros("a").cast("timestamp_ntz").alias("start"), F.timestamp_micros("b").cast("timestamp_ntz").alias("end"), "n")

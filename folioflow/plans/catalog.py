@@ -492,3 +492,118 @@ def stream_conversations(spark, sf):
     """Conversation state on the stream: the last row of each sender."""
     done = streams.run_to_end(streams.conversation_sizes(streams.inbound_stream(spark, f"{sf}/inbound.parquet")), "append")
     return done.groupBy("from_wa_id").agg(F.max("kept").alias("kept"), F.max("total").alias("total"))
+
+
+# further audits and joins -------------------------------------------------------------------------------------------
+
+
+@query(rf"""
+SELECT ord, nullif(regexp_extract(line_text, '^\s*(.{{2,}}?)\s*(?:\.\s?){{3,}}\s*([0-9۰-۹٠-٩]{{1,4}})\s*$', 1), '') AS title,
+       try_cast({_DIGITS.format(x=r"nullif(regexp_extract(line_text, '^\s*(.{2,}?)\s*(?:\.\s?){3,}\s*([0-9۰-۹٠-٩]{1,4})\s*$', 2), '')")} AS INTEGER) AS page FROM toc""")
+def toc_leader_lines(spark, sf):
+    """Title and page of lines with a dotted leader."""
+    title, page = T.leader_line(F.col("line_text"))
+    return t(spark, sf, "toc").select("ord", title.alias("title"), page.alias("page"))
+
+
+@query(r"""
+SELECT ord, round(coalesce(CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0
+         THEN len(regexp_extract_all(text, '[\x{0621}-\x{064A}\x{066E}-\x{06D3}\x{06D5}\x{06EE}\x{06EF}\x{06FA}-\x{06FC}\x{06FF}]')) / len(regexp_extract_all(text, '\p{L}')) END, 0.0), 6) AS ratio,
+       coalesce(right(regexp_replace(text, '[""" + _WS + r"""]+$', ''), 1) NOT IN ('.', '!', '?', '؟', '۔', '…', ':', '؛', ')', ']', '}', '»', '"', '”') AND regexp_replace(text, '[""" + _WS + r"""]+$', '') <> '', false) AS truncated
+FROM corpus""")
+def script_and_truncation(spark, sf):
+    return t(spark, sf, "corpus").select("ord", F.round(T.script_ratio(F.col("text")), 6).alias("ratio"), T.ends_open(F.col("text")).alias("truncated"))
+
+
+@query("""
+WITH b AS (SELECT metadata.source_id AS source_id, max(metadata.page) AS pages FROM corpus WHERE metadata.page > 0 AND metadata.source_id IS NOT NULL GROUP BY 1),
+     w AS (SELECT source_id, pages, unnest(range(1, pages + 1, 2)) AS start_page FROM b)
+SELECT source_id || ':w' || format('{:03d}', (start_page + 1) // 2) AS window_id, source_id, CAST(start_page AS INTEGER) AS start_page, CAST(least(start_page + 1, pages) AS INTEGER) AS end_page,
+       CAST(258 * (least(start_page + 1, pages) - start_page + 1) AS INTEGER) AS token_estimate FROM w""")
+def window_plan(spark, sf):
+    """Windows of two pages over each book, with the planning estimate of tokens."""
+    books = t(spark, sf, "corpus").where("metadata.page > 0 and metadata.source_id is not null").groupBy(F.col("metadata.source_id").alias("source_id")).agg(F.max("metadata.page").alias("pages"))
+    w = books.select("source_id", "pages", F.explode(F.sequence(F.lit(1), F.col("pages"), F.lit(2))).alias("start_page")).withColumn("end_page", F.least(F.col("start_page") + 1, F.col("pages")))
+    number = ((F.col("start_page") + 1) / 2).cast("int")
+    return w.select(F.format_string("%s:w%03d", "source_id", number).alias("window_id"), "source_id", "start_page", "end_page", (258 * (F.col("end_page") - F.col("start_page") + 1)).alias("token_estimate"))
+
+
+@query("""
+WITH n AS (SELECT *, len(embedding) AS dims, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM docs_indexed)
+SELECT count(*) AS rows, count(DISTINCT id) AS ids, count(*) FILTER (WHERE embedding IS NULL) AS without_vector, count(*) FILTER (WHERE norm = 0) AS zero_vectors,
+       count(*) FILTER (WHERE abs(norm - 1) > 0.001 AND norm > 0) AS not_unit, CAST(min(dims) AS INTEGER) AS least_dims, CAST(max(dims) AS INTEGER) AS most_dims,
+       count(*) FILTER (WHERE text IS NULL OR source_id IS NULL OR subject IS NULL) AS missing_required FROM n""")
+def index_manifest(spark, sf):
+    """The one-row manifest of the index, with what an open of it would check."""
+    from folioflow.functions.vectors import norm
+
+    d = t(spark, sf, "docs_indexed").withColumn("n", norm(F.col("embedding"))).withColumn("k", F.when(F.col("embedding").isNotNull(), F.size("embedding")))
+    return d.agg(
+        F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.count_if(F.col("embedding").isNull()).alias("without_vector"), F.count_if(F.col("n") == 0).alias("zero_vectors"),
+        F.count_if((F.abs(F.col("n") - 1) > 0.001) & (F.col("n") > 0)).alias("not_unit"), F.min("k").alias("least_dims"), F.max("k").alias("most_dims"),
+        F.count_if(F.col("text").isNull() | F.col("source_id").isNull() | F.col("subject").isNull()).alias("missing_required"),
+    )
+
+
+@query(f"""
+WITH {_VEC}, one AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS top, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS margin, max(CASE WHEN rank = 1 THEN doc_id END) AS doc
+                    FROM r WHERE rank <= 2 GROUP BY 1),
+     c AS (SELECT doc, count(*) AS n FROM one GROUP BY 1),
+     m AS (SELECT avg(top) AS top, avg(margin) AS margin, (SELECT max(n) / sum(n) FROM c) AS share FROM one)
+SELECT x.name, round(x.value, 6) AS value, x.bound, CASE WHEN x.least THEN x.value >= x.bound ELSE x.value <= x.bound END AS passed
+FROM m, LATERAL (VALUES ('mean_top1_score', m.top, 0.27, true), ('mean_top1_margin', m.margin, 0.01, true), ('top1_concentration', m.share, 0.35, false)) AS x(name, value, bound, least)""")
+def readiness_checks(spark, sf):
+    """Mean first score and margin, and the share of the most frequent first hit, against their bounds."""
+    hits = _vector_hits(spark, sf, 2)[0]
+    per = hits.groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("rank") == 1, F.col("doc_id"))).alias("doc")
+    )
+    by_doc = per.groupBy("doc").agg(F.count("*").alias("n"), F.sum("top").alias("t"), F.sum(F.col("top") - F.col("second")).alias("m"), F.count(F.col("top") - F.col("second")).alias("k"))
+    m = by_doc.agg((F.sum("t") / F.sum("n")).alias("top"), (F.sum("m") / F.sum("k")).alias("margin"), (F.max("n") / F.sum("n")).alias("share"))
+    checks = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value"), F.lit(b).alias("bound"), F.lit(least).alias("least")) for n, c, b, least in (("mean_top1_score", "top", 0.27, True), ("mean_top1_margin", "margin", 0.01, True), ("top1_concentration", "share", 0.35, False))])
+    x = m.select(F.explode(checks).alias("x")).select("x.*")
+    return x.select("name", F.round("value", 6).alias("value"), "bound", F.when(F.col("least"), F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound")).alias("passed"))
+
+
+@query(f"""
+WITH {_CHUNK}, h AS (SELECT r.query_id, r.rank, r.doc_id, coalesce(q.subject = d.subject, false) AS fits FROM r JOIN docs_indexed q ON q.doc_ord = r.query_id JOIN docs_indexed d ON d.doc_ord = r.doc_id WHERE r.rank <= 10)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id FROM (SELECT *, bool_or(fits) OVER (PARTITION BY query_id) AS any_fit FROM h) WHERE fits OR NOT any_fit""")
+def hint_filter_or_all(spark, sf):
+    """Hits of the query's subject, or all of them where none is."""
+    hits, d = _chunk_hits(spark, sf, 10)
+    own, other = d.select(F.col("doc_ord").alias("query_id"), F.col("subject").alias("a")), d.select(F.col("doc_ord").alias("doc_id"), F.col("subject").alias("b"))
+    h = hits.join(own, "query_id").join(other, "doc_id").withColumn("fits", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
+    return h.withColumn("some", F.max("fits").over(W.partitionBy("query_id"))).where("fits or not some").select("query_id", "rank", "doc_id")
+
+
+_TOKENS = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '([\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+)', 1), lambda w: length(w) >= 2))"
+
+
+@query(f"""
+WITH {_CHUNK}, h AS (SELECT r.query_id, r.rank, r.doc_id, {_TOKENS.format(x='q.text')} AS a, {_TOKENS.format(x='d.text')} AS b FROM r JOIN docs_indexed q ON q.doc_ord = r.query_id JOIN docs_indexed d ON d.doc_ord = r.doc_id WHERE r.rank <= 10),
+     o AS (SELECT query_id, rank, doc_id, len(list_intersect(a, b)) AS overlap FROM h),
+     p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rank) AS pos FROM o WHERE overlap > 0)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, doc_id, CAST(overlap AS INTEGER) AS overlap FROM p WHERE pos <= 3""")
+def reference_selection(spark, sf):
+    """Of ten hits the three that share most words with the query."""
+    hits, d = _chunk_hits(spark, sf, 10)
+    own, other = d.select(F.col("doc_ord").alias("query_id"), T.overlap_tokens(F.col("text")).alias("a")), d.select(F.col("doc_ord").alias("doc_id"), T.overlap_tokens(F.col("text")).alias("b"))
+    h = hits.join(own, "query_id").join(other, "doc_id").withColumn("overlap", F.size(F.array_intersect("a", "b"))).where("overlap > 0")
+    pos = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("overlap"), "rank"))
+    return h.withColumn("pos", pos).where("pos <= 3").select("query_id", "pos", "doc_id", "overlap")
+
+
+@query("""
+WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+     k AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM s)
+SELECT user_id, CAST(session AS INTEGER) AS session, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM k GROUP BY 1, 2""")
+def event_sessions(spark, sf):
+    """Sessions of each user with half an hour between events at most."""
+    return audit.sessions(t(spark, sf, "events"), "user_id", "ts", 1800)
+
+
+@query()
+def stream_event_windows(spark, sf):
+    """Events of a type by the hour on the stream: windows that the watermark has passed."""
+    s = streams.file_stream(spark, f"{sf}/events.parquet", "ts")
+    return streams.run_to_end(streams.windowed_counts(s, "ts", "event_type", "1 hour", "10 minutes"))

@@ -18,11 +18,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
-def inbound_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The message table as a stream of its files; ``received_at`` as a UTC timestamp."""
+def file_stream(spark: SparkSession, path: str, *times: str) -> DataFrame:
+    """A table as a stream of its files; the columns ``times`` as UTC timestamps."""
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{path.rsplit('/', 1)[0]}/{path.rsplit('/', 1)[1]}*")
-    return stream.withColumn("received_at", F.col("received_at").cast("timestamp"))
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c in times})
+
+
+def inbound_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The message table as a stream."""
+    return file_stream(spark, path, "received_at")
+
+
+def windowed_counts(stream: DataFrame, time: str, by: str, width: str, late: str) -> DataFrame:
+    """``by, start, n`` of tumbling windows of event time; a window comes out once the watermark, ``late`` behind, has passed it."""
+    counted = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"))
+    return counted.select(by, F.col("w.start").alias("start"), "n")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -180,3 +180,14 @@ def test_index_appends_check_lengths(spark, tmp_path):
         with pytest.raises(ValueError):
             jsonl.append_index(v(rows), path)
     assert [r.doc_id for r in jsonl.left_to_do(v([("a", [1.0]), ("z", [1.0])]), spark.read.parquet(path), "doc_id").collect()] == ["z"]
+
+
+def test_sessions_over_midnight_and_ties(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1, 23, 50)
+    at = lambda m: base + dt.timedelta(minutes=m)
+    rows = [("u", at(0)), ("u", at(20)), ("u", at(20)), ("u", at(51)), ("v", at(3000)), (None, at(1)), ("u", None)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+    got = sorted((r.k, r.session, r.start, r.end, r.n) for r in audit.sessions(df, "k", "ts", 1800).collect())
+    assert got == [("u", 1, at(0), at(20), 3), ("u", 2, at(51), at(51), 1), ("v", 1, at(3000), at(3000), 1)]
