@@ -51,9 +51,13 @@ def pair_counts(df: DataFrame, text: Column) -> DataFrame:
 
 def char_costs(df: DataFrame, text: Column) -> dict[str, float]:
     """Negative log share of each character; at most one entry a character of the basic plane comes to the driver."""
-    rows = char_counts(df, text).collect()
-    total = sum(r.n for r in rows) + len(rows) + 1
-    return {chr(r.cp): float(-np.log((r.n + 1) / total)) for r in rows if r.cp >= 0}
+    return costs_of({r.cp: r.n for r in char_counts(df, text).collect()})
+
+
+def costs_of(counts: dict[int, int]) -> dict[str, float]:
+    """Costs from counts by code point; what is beyond the basic plane (-1, 65,536) only counts in the total."""
+    total = sum(counts.values()) + len(counts) + 1
+    return {chr(cp): float(-np.log((n + 1) / total)) for cp, n in counts.items() if 0 <= cp < 0x10000}
 
 
 def pair_table(df: DataFrame, text: Column) -> dict[tuple[str, str], int]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.llm.charmodel import char_costs
-from folioflow.llm.encoding import SUSPECT, Repair
+from folioflow.llm.encoding import Repair, is_suspect
 from folioflow.llm.lookalike import compatible
 
 LANGUAGES = ("ps", "fa", "ar", "en")
@@ -233,18 +233,16 @@ class Labeller:
         self.table = np.zeros((0, len(LANGUAGES)))
         self.repair = Repair(costs)
 
-    def label(self, texts: list[str | None], suspect: list[bool]) -> list[list[tuple[str, float, int, int]]]:
+    def label(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
         """For each text: its language, confidence, letters and sentences in all, then the same of each stretch if there
-        are several.  A text without a letter has none.  Garbled text is judged as it was before, as far as it can be;
-        ``suspect`` tells which texts may be garbled.
-        """
+        are several.  A text without a letter has none.  Garbled text is judged as it was before, as far as it can be."""
         if len(self.words.rows) > MAX_WORDS:
             self.words, self.table = Words(), self.table[:0]
         sequences, sizes = [], []
-        for text, odd in zip(texts, suspect):
+        for text in texts:
             own, size = [], []
             if text:
-                if odd:
+                if is_suspect(text):
                     text = self.repair.judge(text)[1]
                 for sentence in split_sentences(text):
                     found = WORD.findall(sentence)
@@ -311,7 +309,7 @@ def language_segments(corpus: DataFrame, field: Field | None = None, costs: dict
     field = field or fit_field(corpus)
     costs = char_costs(corpus, F.col("text")) if costs is None else costs
     shared = corpus.sparkSession.sparkContext.broadcast((field, costs))
-    source = corpus.select("ord", plain_label(F.col("metadata.language")).alias("label"), "text", F.col("text").rlike(SUSPECT).alias("_suspect")).where("text is not null")
+    source = corpus.select("ord", plain_label(F.col("metadata.language")).alias("label"), "text").where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(*shared.value)
@@ -320,7 +318,7 @@ def language_segments(corpus: DataFrame, field: Field | None = None, costs: dict
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                found = labeller.label(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                found = labeller.label(batch.column(2).to_pylist())
                 rows = [(o, lab, i, *r) for o, lab, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found) for i, r in enumerate(own)]
                 columns = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)

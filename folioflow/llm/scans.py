@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folioflow.llm.charmodel import char_costs
-from folioflow.llm.encoding import SUSPECT, Repair
+from folioflow.llm.charmodel import char_costs, code_points, costs_of
+from folioflow.llm.encoding import Repair, is_suspect
 from folioflow.llm.lookalike import compatible
 from folioflow.session import cut
 
@@ -206,7 +206,7 @@ def _at(word: str, part: str) -> list[int]:
 
 
 def _texts(corpus: DataFrame) -> DataFrame:
-    return corpus.select("ord", "text", F.col("text").rlike(SUSPECT).alias("_suspect"), F.col("metadata.title").alias("title")).where("text is not null")
+    return corpus.select("ord", "text", F.col("metadata.title").alias("title")).where("text is not null")
 
 
 class Reader:
@@ -215,14 +215,14 @@ class Reader:
     def __init__(self, costs: dict[str, float]):
         self.repair = Repair(costs)
 
-    def lines(self, text: str, suspect: bool) -> list[str]:
-        if suspect:
+    def lines(self, text: str) -> list[str]:
+        if is_suspect(text):
             text = self.repair.judge(text)[1]
         return split_lines(text)
 
 
 def word_counts(corpus: DataFrame) -> DataFrame:
-    """``word, n`` over all texts; counted in each task before the shuffle."""
+    """``word, n`` over all texts, and ``word`` null, ``cp, n`` for characters; counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -232,17 +232,24 @@ def word_counts(corpus: DataFrame) -> DataFrame:
             for token, n in total.items():
                 words[_PLAIN_WORDS[token]] += n
             total.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            words.pop("", None)
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=names)
 
+        chars = np.zeros(0x10001, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            texts = batch.column(0).to_pylist()
+            chars += np.bincount(np.minimum(code_points(texts), 0x10000), minlength=0x10001)
+            for text in texts:
                 total.update(text.lower().split())
             if len(total) > 300_000:
                 yield flush()
         yield flush()
+        seen = np.flatnonzero(chars)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(chars[seen])], names=names)
 
-    counted = corpus.select("text").where("text is not null").mapInArrow(count, "word string, n long")
-    return counted.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    names = ["word", "cp", "n"]
+    counted = corpus.select("text").where("text is not null").mapInArrow(count, "word string, cp int, n long")
+    return counted.groupBy("word", "cp").agg(F.sum("n").alias("n"))
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -295,8 +302,8 @@ def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str]) -> Dat
         for batch in batches:
             rows: list[tuple] = []
             seen = array("i")  # ids of all words in order, -2 between records
-            for ord_, text, suspect, title in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = reader.lines(text, suspect)
+            for ord_, text, title in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = reader.lines(text)
                 several = len(lines) > 1
                 paged = page_lines(lines) if several else [False]
                 stray = stray_lines(lines, paged) if several else [False]
@@ -374,7 +381,7 @@ def decode(line: list[dict], pairs: dict[int, int], ids: dict[str, int], counts:
     return out
 
 
-def scan_defects(corpus: DataFrame, toc: DataFrame, costs: dict[str, float] | None = None) -> DataFrame:
+def scan_defects(corpus: DataFrame, toc: DataFrame) -> DataFrame:
     """``ord, line, pos, defect, seen, meant``: every defect of every record, at its line (from 0).
 
     ``defect``: hyphen (the broken word's halves in ``seen``, the word in ``meant``), misread, header or pageno.  Null and
@@ -382,8 +389,9 @@ def scan_defects(corpus: DataFrame, toc: DataFrame, costs: dict[str, float] | No
     ``COMMON`` most frequent words.  Joins are by word, by word pair and by title, so no task holds a record group.
     """
     spark = corpus.sparkSession
-    costs = char_costs(corpus, F.col("text")) if costs is None else costs
-    counts = cut(word_counts(corpus))
+    both = cut(word_counts(corpus))
+    counts = both.where("word is not null").select("word", "n")
+    costs = costs_of({r.cp: r.n for r in both.where("word is null").select("cp", "n").collect()})
     fixes = cut(corrections(counts))
     usual = counts.join(fixes.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON).collect()
     common, common_n = [r.word for r in usual], {r.word: r.n for r in usual}
@@ -452,9 +460,9 @@ def scan_defects(corpus: DataFrame, toc: DataFrame, costs: dict[str, float] | No
     )
 
 
-def defect_kinds(corpus: DataFrame, toc: DataFrame, costs: dict[str, float] | None = None) -> DataFrame:
+def defect_kinds(corpus: DataFrame, toc: DataFrame) -> DataFrame:
     """``ord, defect``: which defects a record has at least once."""
-    return scan_defects(corpus, toc, costs).select("ord", "defect").distinct()
+    return scan_defects(corpus, toc).select("ord", "defect").distinct()
 
 
 def _again(line: str, fixes: dict[int, tuple[str, str]]) -> str:
@@ -521,15 +529,15 @@ def clean_scans(corpus: DataFrame, toc: DataFrame) -> DataFrame:
     A record without defects keeps its text as it is; a null text stays null.
     """
     costs = char_costs(corpus, F.col("text"))
-    found = scan_defects(corpus, toc, costs).groupBy("ord").agg(F.collect_list(F.struct("line", "pos", "defect", "seen", "meant")).alias("found"))
-    source = corpus.select("ord", "text", F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False)).alias("_suspect")).join(found, "ord", "left")
+    found = scan_defects(corpus, toc).groupBy("ord").agg(F.collect_list(F.struct("line", "pos", "defect", "seen", "meant")).alias("found"))
+    source = corpus.select("ord", "text").join(found, "ord", "left")
     shared = corpus.sparkSession.sparkContext.broadcast(costs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            ords, texts, suspects, found = (c.to_pylist() for c in batch.columns)
-            new = [rebuild(reader.lines(t, s), f) if f and t is not None else t for t, s, f in zip(texts, suspects, found)]
+            ords, texts, found = (c.to_pylist() for c in batch.columns)
+            new = [rebuild(reader.lines(t), f) if f and t is not None else t for t, f in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int32()), pa.array(new, pa.string()), pa.array([len(f or ()) for f in found], pa.int32())], names=["ord", "text", "defects"])
 
     return source.mapInArrow(run, "ord int, text string, defects int")

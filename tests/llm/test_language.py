@@ -55,29 +55,29 @@ def test_held_out_accuracy_on_sentences(model, spark):
             if max(hits.values()) >= 2 and sorted(hits.values())[-2] == 0:
                 texts.append(s)
                 gold.append(max(hits, key=hits.get))
-    got = [x[0][0] for x in language.Labeller(*model).label(texts, [False] * len(texts))]
+    got = [x[0][0] for x in language.Labeller(*model).label(texts)]
     assert len(gold) > 1000 and np.mean([a == b for a, b in zip(got, gold)]) > 0.995
 
 
 def test_stretches_of_mixed_text(model):
     lab = language.Labeller(*model)
     mixed = f"{EN} {EN} {FA} {PS} {PS}\n{AR}"
-    (rows,) = lab.label([mixed], [False])
+    (rows,) = lab.label([mixed])
     assert [r[0] for r in rows[1:]] == ["en", "fa", "ps", "ar"] and rows[0][0] == "en" or rows[0][0] == "ps"
     assert all(0.8 < r[1] <= 1 for r in rows[1:])
     words = f"{FA} واژه photosynthesis در (x² + 1) این کتاب است. {FA}"
-    assert len(lab.label([words], [False])[0]) == 1
+    assert len(lab.label([words])[0]) == 1
     rnd = random.Random(0)
     for _ in range(20):
         parts = [rnd.choice([EN, FA, PS, AR]) for _ in range(rnd.randint(1, 6))]
         want = [k for k, _ in itertools.groupby(parts)]
-        got = lab.label([" ".join(parts)], [False])[0]
+        got = lab.label([" ".join(parts)])[0]
         assert [r[0] for r in got[1:] or got] == [{EN: "en", FA: "fa", PS: "ps", AR: "ar"}[p] for p in want]
 
 
 def test_garbled_text_is_judged_as_it_was(model):
     bad = PS.encode("utf-8").decode("latin_1")
-    assert language.Labeller(*model).label([bad], [True])[0][0][0] == "ps"
+    assert language.Labeller(*model).label([bad])[0][0][0] == "ps"
 
 
 def test_labels_nulls_and_empty_tables(model, spark):
