@@ -199,6 +199,12 @@ def lost_to_questions(text: str) -> bool:
     return len(_QUESTION_WORDS.findall(text)) >= 3 and len(text) > 0 and text.count("?") >= 8
 
 
+def mostly_lost(text: str) -> bool:
+    """Whether more characters stand for lost ones than there are letters."""
+    lost = text.count(LOST) + sum(map(len, _QUESTION_WORDS.findall(text)))
+    return lost > 0 and lost > sum(map(str.isalpha, text))
+
+
 def repair_texts(corpus: DataFrame, costs: dict[str, float] | None = None) -> DataFrame:
     """``ord, status, text, operations``: every record, garbled ones with their text restored.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.llm.charmodel import char_costs
-from folioflow.llm.encoding import Repair, is_suspect
+from folioflow.llm.encoding import Repair, is_suspect, mostly_lost
 from folioflow.llm.lookalike import compatible
 
 LANGUAGES = ("ps", "fa", "ar", "en")
@@ -244,6 +244,7 @@ class Labeller:
             if text:
                 if is_suspect(text):
                     text = self.repair.judge(text)[1]
+                    text = "" if mostly_lost(text) else text
                 for sentence in split_sentences(text):
                     found = WORD.findall(sentence)
                     size.append(len(found))
@@ -302,7 +303,7 @@ def language_segments(corpus: DataFrame, field: Field | None = None, costs: dict
 
     ``seg_no`` 0 is the whole record: the language of most of its letters.  A record with sentences in several languages
     has further rows 1, 2, ...: the longest runs of consecutive sentences in one language, in reading order.  A null,
-    blank or letterless text has no row.  ``label`` is the record's own label, trimmed and shortened; ``confidence`` is the
+    blank or letterless text has no row, nor has one that a wrong encoding has lost for the most part.  ``label`` is the record's own label, trimmed and shortened; ``confidence`` is the
     mean probability of the language over the letters.  The text of a record is judged in one piece, in Arrow batches,
     without a shuffle; only the sample for the fit and the character costs come to the driver.
     """

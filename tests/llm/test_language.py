@@ -90,3 +90,9 @@ def test_labels_nulls_and_empty_tables(model, spark):
     assert language.wrong_labels_and_segments(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, f"{EN} " * 3000, (None,))], "ord int, text string, metadata struct<language: string>")
     assert [tuple(r) for r in language.wrong_labels_and_segments(long, *model).collect()] == [(1, 0, "en")]
+
+
+def test_lost_text_has_no_language(model):
+    lab = language.Labeller(*model)
+    assert lab.label(["���� ��� (x)", "???? ?? ?????? ??? (verb)", "It isn�t a clich� if it is true."])[:2] == [[], []]
+    assert lab.label(["It isn�t a clich� if it is true."])[0][0][0] == "en"
