@@ -1,8 +1,8 @@
 """Problem 6: noise of scanned pages, by noisy-channel correction and line analysis.
 
-Words are counted over the whole collection.  Each rarer word that confusions of characters turn into a much more
-frequent one gets those as candidates; in its line, Viterbi over candidate words weighs the confusions' cost against the
-likelihood of word pairs.  Running headers are lines that equal a title; page numbers are lines of their own that are no
+Words are counted over the whole collection.  Each word that confusions of characters turn into another known one gets
+all of those as candidates; in its line, Viterbi over the word as seen and its candidates weighs the confusions' cost
+against the likelihood of words and word pairs.  Running headers are lines that equal a title; page numbers are lines of their own that are no
 answers; a word broken at a line end is joined unless its hyphenated form is the more frequent one.
 """
 
@@ -36,9 +36,9 @@ CONFUSIONS = (
 COMMON = 50_000
 #: Share of a word's likelihood that its pair with the word before it has.
 PAIR_WEIGHT = 0.6
-#: Most candidates of a word, best first; a word has rarely more than two.
-CANDIDATES = 6
-
+#: A pair with a doubtful word as seen weighs half if it stands so often elsewhere: fewer may be copies of one misread text.
+#: With a sign between its letters (see below) it takes as many as the price of that is odds.
+COPIES = 20.0
 #: A sign or figure between the letters of a word: no spelling, whatever the word may be.
 _INNER = re.compile(r"[^\W\d_][0-9|*†ںٮڡ،,]+[^\W\d_]")
 #: The price of taking such a word for right.
@@ -253,7 +253,11 @@ def word_counts(corpus: DataFrame) -> DataFrame:
 
 
 def corrections(counts: DataFrame) -> DataFrame:
-    """``word, n, options``: words that are likely misread, with what they may have been (``cand, n, cost``), best first."""
+    """``word, n, options``: words that may be misread, with all known words they may have been (``cand, n, cost``), best first.
+
+    A word with a sign between its letters has candidates that no text has, too; as these differ by nothing but their
+    cost, only the first of them is kept.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,16 +272,19 @@ def corrections(counts: DataFrame) -> DataFrame:
     made = counts.mapInArrow(make, "word string, n long, cand string, cost double")
     made = made.withColumn("inner", F.col("word").rlike(_INNER.pattern.replace(r"[^\W\d_]", r"\p{L}")) & ~F.col("word").rlike(r"^[a-z]*\d[a-z]+\d"))
     known = counts.select(F.col("word").alias("cand"), F.col("n").alias("n_cand"))
-    good = made.join(known, "cand", "left").where(F.col("inner") | (F.log("n_cand") - F.log("n") >= F.col("cost"))).fillna(0, "n_cand")
+    good = made.join(known, "cand", "left").where(F.col("inner") | F.col("n_cand").isNotNull()).fillna(0, "n_cand")
     option = F.struct((F.col("cost") - F.log(F.col("n_cand") + 0.1)).alias("rank"), "cand", F.col("n_cand").alias("n"), "cost")
-    return good.groupBy("word", "n").agg(F.slice(F.array_sort(F.collect_list(option)), 1, CANDIDATES).alias("options"))
+    ranked = good.groupBy("word", "n").agg(F.array_sort(F.collect_list(option)).alias("all"))
+    options = F.concat(F.filter("all", lambda o: o["n"] > 0), F.slice(F.filter("all", lambda o: o["n"] == 0), 1, 1))
+    return ranked.select("word", "n", options.alias("options"))
 
 
-def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str]) -> DataFrame:
-    """One pass over the texts: page numbers, possible headers and breaks, words that are not common, and word pairs.
+def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str], sure: int) -> DataFrame:
+    """One pass over the texts: page numbers, possible headers and breaks, words that may be misread, and word pairs.
+    The first ``sure`` common words are not misread, the others may be.
 
     ``kind`` P: page number; H: line ``a`` may be a title; T: line ``a`` is the record's own title or a stray line; B: line ends with ``a``
-    broken by the sign in ``c``, next comes ``b``; W: word ``a`` at ``pos`` between ``b`` and ``c``; G: ``n`` pairs ``key``.
+    broken by the sign in ``c``, next comes ``b``; W: word ``a`` (with id ``key`` if it is common) at ``pos`` between ``b`` and ``c``; G: ``n`` pairs ``key``.
     """
     shared = corpus.sparkSession.sparkContext.broadcast((costs, common))
     names = ["kind", "ord", "line", "pos", "a", "b", "c", "key", "n"]
@@ -329,12 +336,12 @@ def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str]) -> Dat
                             rows.append(("B", ord_, i, None, left, right, m.group(1), None, None))
                     kinds_ = list(map(ids.__getitem__, words))
                     seen.extend(kinds_)
-                    if -1 in kinds_:
+                    if -1 in kinds_ or max(kinds_, default=-2) >= sure:
                         for j, k in enumerate(kinds_):
-                            if k == -1:
+                            if k == -1 or k >= sure:
                                 before = next((w for w in reversed(words[:j]) if w), last)
                                 after = next((w for w in words[j + 1 :] if w), "")
-                                rows.append(("W", ord_, i, j, words[j], before, after, None, None))
+                                rows.append(("W", ord_, i, j, words[j], before, after, k if k >= 0 else None, None))
                     last = next((w for w in reversed(words) if w), last)
                 seen.append(-2)
             yield table(rows)
@@ -355,14 +362,21 @@ def decode(line: list[dict], pairs: dict[int, int], ids: dict[str, int], counts:
     """Viterbi over the candidate words of a line: ``(position, seen, meant)`` of words that were misread.
 
     ``line`` has ``pos, a, b, c, n, options`` of its doubtful words, in order; a word's neighbours are fixed unless they
-    are doubtful themselves.
+    are doubtful themselves.  A word as seen speaks for itself only by its other occurrences: this one is taken from the
+    counts of the word and of its pairs, and few others weigh less (``COPIES``).  ``left, right`` are the pair counts of a word as seen that is not common.
     """
 
-    def score(before: str, word: str, n: int) -> float:
+    def score(before: str, word: str, n: int, few: float = 0.0, size: int | None = None, found: int = 0) -> float:
+        """``few``: how many others weigh half if the pair is as in the text, else 0; ``size``: how often ``before`` occurs
+        elsewhere, if it is doubtful and as seen; ``found``: the count of the pair, if not both are common."""
         p = (1 - PAIR_WEIGHT) * max(n, 1) / total
         a, b = ids.get(before, -1), ids.get(word, -1)
         if a >= 0 and b >= 0:
-            p += PAIR_WEIGHT * pairs.get(a * COMMON + b, 0) / max(counts[before], 1)
+            found = pairs.get(a * COMMON + b, 0)
+        if few:
+            found = max(found - 1, 0)
+        if found:
+            p += PAIR_WEIGHT * found / (found + few) * found / max(counts[before] if size is None else size, 1)
         return -math.log(max(p, 1e-12))
 
     out, i = [], 0
@@ -371,12 +385,19 @@ def decode(line: list[dict], pairs: dict[int, int], ids: dict[str, int], counts:
         while i + len(run) < len(line) and line[i + len(run)]["pos"] == run[-1]["pos"] + 1:
             run.append(line[i + len(run)])
         i += len(run)
-        paths = [(0.0, run[0]["b"] or "", [])]
+        # cost, last word, words, and of a last word that is as seen how often it occurs elsewhere and how many pairs are few
+        paths = [(0.0, run[0]["b"] or "", [], None, 0.0)]
         for w in run:
-            choices = [(w["a"], w["n"], INNER_PRICE if _INNER.search(w["a"]) else 0.0)] + [(o["cand"], o["n"], o["cost"]) for o in w["options"]]
-            paths = [min(((cost + score(last, word, n) + price, word, [*path, word]) for cost, last, path in paths), key=lambda p: (p[0], p[1])) for word, n, price in choices]
+            seen, left = w["a"], (w.get("left") or 0) if w["b"] in counts else 0
+            price, few = (INNER_PRICE, math.exp(INNER_PRICE)) if _INNER.search(seen) else (0.0, COPIES)
+            ways = [
+                [(cost + price + score(last, seen, w["n"] - 1, few, size, left) if last == w["b"] else cost + price + score(last, seen, w["n"] - 1, 0.0, size), seen, [*path, seen], w["n"] - 1, few) for cost, last, path, size, _ in paths]
+            ]
+            ways += [[(cost + o["cost"] + score(last, o["cand"], o["n"], 0.0, size), o["cand"], [*path, o["cand"]], None, 0.0) for cost, last, path, size, _ in paths] for o in w["options"]]
+            paths = [min(way, key=lambda p: (p[0], p[1])) for way in ways]
         after = run[-1]["c"] or ""
-        best = min(paths, key=lambda p: p[0] + (score(p[1], after, counts.get(after, 1)) if after else 0.0))
+        right = (run[-1].get("right") or 0) if after in counts else 0
+        best = min(paths, key=lambda p: p[0] + (score(p[1], after, counts.get(after, 1), p[4], p[3], right if p[4] else 0) if after else 0.0))
         out += [(w["pos"], w["a"], word) for w, word in zip(run, best[2]) if word != w["a"]]
     return out
 
@@ -393,14 +414,19 @@ def scan_defects(corpus: DataFrame, toc: DataFrame) -> DataFrame:
     counts = both.where("word is not null").select("word", "n")
     costs = costs_of({r.cp: r.n for r in both.where("word is null").select("cp", "n").collect()})
     fixes = cut(corrections(counts))
-    usual = counts.join(fixes.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    common, common_n = [r.word for r in usual], {r.word: r.n for r in usual}
+    usual = counts.orderBy(F.desc("n"), "word").limit(COMMON).join(fixes.select("word", F.lit(True).alias("doubt")), "word", "left").collect()
+    usual.sort(key=lambda r: (bool(r.doubt), -r.n, r.word))
+    common, common_n, sure = [r.word for r in usual], {r.word: r.n for r in usual}, sum(not r.doubt for r in usual)
     total = counts.agg(F.sum("n")).first()[0] or 1
-    marks = cut(_marks(corpus, costs, common))
+    marks = cut(_marks(corpus, costs, common, sure))
     shared = spark.sparkContext.broadcast((common_n, total))
 
-    doubtful = marks.where("kind = 'W'").select("ord", "line", "pos", "a", "b", "c").join(fixes.withColumnRenamed("word", "a"), "a")
-    grouped = doubtful.groupBy("ord", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b", "c", "n", "options"))).alias("words"))
+    doubtful = marks.where("kind = 'W'").select("ord", "line", "pos", "a", "b", "c", "key").join(fixes.withColumnRenamed("word", "a"), "a")
+    # pairs of doubtful words that are not common are counted from the words' own rows
+    rare = doubtful.where("key is null")
+    rare = rare.join(rare.groupBy("a", "b").agg(F.count("*").alias("left")), ["a", "b"]).join(rare.groupBy("a", "c").agg(F.count("*").alias("right")), ["a", "c"])
+    doubtful = rare.unionByName(doubtful.where("key is not null"), allowMissingColumns=True)
+    grouped = doubtful.groupBy("ord", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b", "c", "n", "options", "left", "right"))).alias("words"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {w: i for i, w in enumerate(shared.value[0])}

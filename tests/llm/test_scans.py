@@ -135,3 +135,22 @@ def test_decode_equals_trying_all_readings():
             m = got.get(w["pos"], w["a"])
             way.append(next((o["cand"], o["n"], o["cost"]) for o in sorted(w["options"], key=lambda o: o["cost"]) if o["cand"] == m) if m != w["a"] else (m, w["n"], 0.0))
         assert cost(way) == pytest.approx(best)
+
+
+def test_context_keeps_and_changes_one_word(spark):
+    """A word misread in one of ten occurrences is mended where its own context speaks against it, and only there."""
+    rows = ["He has a modern art book."] * 60 + ["We saw modern art there."] * 60 + ["Plug the modem cable in."] * 60 + ["Look: the modem cable broke."] * 60
+    rows += ["Plug the modern cable in.", "We saw modern art here."]
+    rows += ["Say that the enzyme acts."] * 40 + ["Say that thc enzyme acts."] * 4
+    corpus = spark.createDataFrame([(i, t, (None,)) for i, t in enumerate(rows)], "ord int, text string, metadata struct<title: string>")
+    toc = spark.createDataFrame([], "chapter_title string, title string, frontmatter_chapter_title string")
+    got = sorted((r.ord, r.seen, r.meant) for r in scans.scan_defects(corpus, toc).collect())
+    assert got == [(240, "modern", "modem"), *((i, "thc", "the") for i in range(282, 286))]
+
+
+def test_pairs_of_a_rare_word_as_seen_count():
+    word = {"pos": 0, "a": "modern", "b": "saw", "c": "art", "n": 60, "options": [{"cand": "modem", "n": 90, "cost": 0.1}]}
+    counts = {"saw": 500, "art": 400, "modem": 90}
+    ids = {w: i for i, w in enumerate(counts)}
+    assert scans.decode([word], {}, ids, counts, 1000) == [(0, "modern", "modem")]
+    assert scans.decode([word | {"left": 50, "right": 50}], {}, ids, counts, 1000) == []
