@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.llm.charmodel import char_costs
-from folioflow.llm.encoding import Repair, is_suspect, mostly_lost
+from folioflow.llm.encoding import LOST, Repair, is_suspect, lost_to_questions, mostly_lost
 from folioflow.llm.lookalike import compatible
 
 LANGUAGES = ("ps", "fa", "ar", "en")
@@ -29,6 +29,8 @@ LEAST_WORDS, LEAST_LETTERS = 2, 6
 
 WORD = re.compile(r"[^\W\d_][\w\u200c\u200dً-ٰٟ]*")
 SENTENCE_END = re.compile(r"(?<=[.!?؟۔])[\"'”’»)\]]*\s+")
+#: Question marks that stand for a lost word and end no sentence.
+_LOST_WORD = re.compile(r"(?<![^\W_])\?{2,}|(?<!\S)\?(?!\S)")
 
 
 def split_sentences(text: str) -> list[str]:
@@ -36,6 +38,13 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in SENTENCE_END.split(text) if s]
 
 
+def readable_sentences(text: str) -> list[str]:
+    """Sentences of a text that a wrong encoding has lost in part, without those that are lost for the most part."""
+    if lost_to_questions(text):
+        text = _LOST_WORD.sub(lambda m: LOST * len(m.group()), text)
+    return [s for s in split_sentences(text) if not mostly_lost(s)]
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a word in compatible form and lower case (so without joiners)."""
     w = compatible(word).lower() or word
@@ -235,17 +244,15 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
         """For each text: its language, confidence, letters and sentences in all, then the same of each stretch if there
-        are several.  A text without a letter has none.  Garbled text is judged as it was before, as far as it can be."""
+        are several.  A text without a letter has none.  Garbled text is judged as it was before, as far as it can be:
+        sentences that are mostly lost are left out, all others count."""
         if len(self.words.rows) > MAX_WORDS:
             self.words, self.table = Words(), self.table[:0]
         sequences, sizes = [], []
         for text in texts:
             own, size = [], []
             if text:
-                if is_suspect(text):
-                    text = self.repair.judge(text)[1]
-                    text = "" if mostly_lost(text) else text
-                for sentence in split_sentences(text):
+                for sentence in readable_sentences(self.repair.judge(text)[1]) if is_suspect(text) else split_sentences(text):
                     found = WORD.findall(sentence)
                     size.append(len(found))
                     own.extend(map(self.words.__getitem__, found))
@@ -303,7 +310,8 @@ def language_segments(corpus: DataFrame, field: Field | None = None, costs: dict
 
     ``seg_no`` 0 is the whole record: the language of most of its letters.  A record with sentences in several languages
     has further rows 1, 2, ...: the longest runs of consecutive sentences in one language, in reading order.  A null,
-    blank or letterless text has no row, nor has one that a wrong encoding has lost for the most part.  ``label`` is the record's own label, trimmed and shortened; ``confidence`` is the
+    blank or letterless text has no row, nor has one of which a wrong encoding has lost every sentence for the most part.
+    ``label`` is the record's own label, trimmed and shortened; ``confidence`` is the
     mean probability of the language over the letters.  The text of a record is judged in one piece, in Arrow batches,
     without a shuffle; only the sample for the fit and the character costs come to the driver.
     """

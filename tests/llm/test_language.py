@@ -96,3 +96,16 @@ def test_lost_text_has_no_language(model):
     lab = language.Labeller(*model)
     assert lab.label(["���� ��� (x)", "???? ?? ?????? ??? (verb)", "It isn�t a clich� if it is true."])[:2] == [[], []]
     assert lab.label(["It isn�t a clich� if it is true."])[0][0][0] == "en"
+
+
+@pytest.mark.parametrize("mark", ["\ufffd", "?"])
+def test_sound_sentences_beside_lost_ones_count(model, mark):
+    lab = language.Labeller(*model)
+    lost = " ".join([mark * 4, mark * 7, mark, mark * 9, "(verb tense)", mark * 12]) + "."
+    long = " ".join([lost] * 9)
+    assert lab.label([long]) == [[]]
+    for text in (f"{AR} {lost} {AR} {AR}", f"{long} {AR} {long}"):
+        (rows,) = lab.label([text])
+        assert [r[0] for r in rows] == ["ar"]
+    (rows,) = lab.label([f"{EN} {long} {EN} {PS} {long}"])
+    assert [(r[0], r[3]) for r in rows[1:]] == [("en", 2), ("ps", 1)]
