@@ -221,35 +221,63 @@ class Reader:
         return split_lines(text)
 
 
-def word_counts(corpus: DataFrame) -> DataFrame:
-    """``word, n`` over all texts, and ``word`` null, ``cp, n`` for characters; counted in each task before the shuffle."""
+def word_counts(texts: DataFrame, raw: bool = True) -> DataFrame:
+    """``word, n`` over all texts, and with ``cp`` instead of a word for characters; counted in each task before the shuffle.
+
+    Words of raw texts that may be garbled are not counted: such texts come out themselves, as ``ord, text, title, n``.
+    """
+    names = ["word", "cp", "n", "ord", "text", "title"]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
 
+        def table(**columns) -> pa.RecordBatch:
+            size = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in zip(names, kinds)], names=names)
+
         def flush() -> pa.RecordBatch:
             words: Counter = Counter()
             for token, n in total.items():
                 words[_PLAIN_WORDS[token]] += n
             total.clear()
             words.pop("", None)
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=names)
+            return table(word=list(words), n=list(words.values()))
 
         chars = np.zeros(0x10001, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            chars += np.bincount(np.minimum(code_points(texts), 0x10000), minlength=0x10001)
+            texts = batch.column(1).to_pylist()
+            if raw:
+                chars += np.bincount(np.minimum(code_points(texts), 0x10000), minlength=0x10001)
+            later = [i for i, text in enumerate(texts) if is_suspect(text)] if raw else []
+            if later:
+                ords, titles = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                yield table(ord=[ords[i] for i in later], text=[texts[i] for i in later], title=[titles[i] for i in later], n=[1] * len(later))
+                for i in later:
+                    texts[i] = ""
             for text in texts:
                 total.update(text.lower().split())
             if len(total) > 300_000:
                 yield flush()
         yield flush()
         seen = np.flatnonzero(chars)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(chars[seen])], names=names)
+        yield table(cp=seen.astype(np.int32), n=chars[seen])
+
+    counted = texts.mapInArrow(count, "word string, cp int, n long, ord int, text string, title string")
+    return counted.groupBy("word", "cp", "ord", "text", "title").agg(F.sum("n").alias("n"))
+
 
-    names = ["word", "cp", "n"]
-    counted = corpus.select("text").where("text is not null").mapInArrow(count, "word string, cp int, n long")
-    return counted.groupBy("word", "cp").agg(F.sum("n").alias("n"))
+def _restored(found: DataFrame, costs: dict[str, float]) -> DataFrame:
+    """``ord, text, title``: the texts that may be garbled, as they were before."""
+    shared = found.sparkSession.sparkContext.broadcast(costs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repair = Repair(shared.value)
+        for batch in batches:
+            yield batch.set_column(1, "text", pa.array([repair.judge(text)[1] for text in batch.column(1).to_pylist()], pa.string()))
+
+    rows = found.where("text is not null").select("ord", "text", "title", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
+    return rows.mapInArrow(run, "ord int, text string, title string")
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -279,14 +307,14 @@ def corrections(counts: DataFrame) -> DataFrame:
     return ranked.select("word", "n", options.alias("options"))
 
 
-def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str], sure: int) -> DataFrame:
+def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int) -> DataFrame:
     """One pass over the texts: page numbers, possible headers and breaks, words that may be misread, and word pairs.
-    The first ``sure`` common words are not misread, the others may be.
+    Texts that may be garbled are taken from ``mended``.  The first ``sure`` common words are not misread, the others may be.
 
     ``kind`` P: page number; H: line ``a`` may be a title; T: line ``a`` is the record's own title or a stray line; B: line ends with ``a``
     broken by the sign in ``c``, next comes ``b``; W: word ``a`` (with id ``key`` if it is common) at ``pos`` between ``b`` and ``c``; G: ``n`` pairs ``key``.
     """
-    shared = corpus.sparkSession.sparkContext.broadcast((costs, common))
+    shared = corpus.sparkSession.sparkContext.broadcast(common)
     names = ["kind", "ord", "line", "pos", "a", "b", "c", "key", "n"]
     kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
 
@@ -303,14 +331,15 @@ def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str], sure:
         return pa.RecordBatch.from_arrays([pa.array(["G"] * len(keys), pa.string()), *empty, pa.array(keys), pa.array(n)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        costs, common = shared.value
-        reader, ids = Reader(costs), _Ids({w: i for i, w in enumerate(common)})
+        ids = _Ids({w: i for i, w in enumerate(shared.value)})
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             rows: list[tuple] = []
             seen = array("i")  # ids of all words in order, -2 between records
-            for ord_, text, title in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = reader.lines(text)
+            for ord_, text, title, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if raw and is_suspect(text):
+                    continue
+                lines = split_lines(text)
                 several = len(lines) > 1
                 paged = page_lines(lines) if several else [False]
                 stray = stray_lines(lines, paged) if several else [False]
@@ -355,7 +384,8 @@ def _marks(corpus: DataFrame, costs: dict[str, float], common: list[str], sure:
         if found:
             yield pairs(*summed(found))
 
-    return _texts(corpus).mapInArrow(run, "kind string, ord int, line int, pos int, a string, b string, c string, key long, n long")
+    texts = _texts(corpus).withColumn("raw", F.lit(True)).unionByName(mended.withColumn("raw", F.lit(False)))
+    return texts.mapInArrow(run, "kind string, ord int, line int, pos int, a string, b string, c string, key long, n long")
 
 
 def decode(line: list[dict], pairs: dict[int, int], ids: dict[str, int], counts: dict[str, int], total: int) -> list[tuple[int, str, str]]:
@@ -406,19 +436,21 @@ def scan_defects(corpus: DataFrame, toc: DataFrame) -> DataFrame:
     """``ord, line, pos, defect, seen, meant``: every defect of every record, at its line (from 0).
 
     ``defect``: hyphen (the broken word's halves in ``seen``, the word in ``meant``), misread, header or pageno.  Null and
-    blank texts have none.  All counts are over all records; what comes to the driver is the character table and the
+    blank texts have none.  All counts are over all records, garbled ones as they were before; what comes to the driver is the character table and the
     ``COMMON`` most frequent words.  Joins are by word, by word pair and by title, so no task holds a record group.
     """
     spark = corpus.sparkSession
-    both = cut(word_counts(corpus))
-    counts = both.where("word is not null").select("word", "n")
-    costs = costs_of({r.cp: r.n for r in both.where("word is null").select("cp", "n").collect()})
+    found = cut(word_counts(_texts(corpus)))
+    costs = costs_of({r.cp: r.n for r in found.where("cp is not null").select("cp", "n").collect()})
+    mended = cut(_restored(found, costs))
+    counts = found.unionByName(word_counts(mended, raw=False)).where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
     fixes = cut(corrections(counts))
     usual = counts.orderBy(F.desc("n"), "word").limit(COMMON).join(fixes.select("word", F.lit(True).alias("doubt")), "word", "left").collect()
     usual.sort(key=lambda r: (bool(r.doubt), -r.n, r.word))
     common, common_n, sure = [r.word for r in usual], {r.word: r.n for r in usual}, sum(not r.doubt for r in usual)
     total = counts.agg(F.sum("n")).first()[0] or 1
-    marks = cut(_marks(corpus, costs, common, sure))
+    marks = cut(_marks(corpus, mended, common, sure))
     shared = spark.sparkContext.broadcast((common_n, total))
 
     doubtful = marks.where("kind = 'W'").select("ord", "line", "pos", "a", "b", "c", "key").join(fixes.withColumnRenamed("word", "a"), "a")

@@ -154,3 +154,17 @@ def test_pairs_of_a_rare_word_as_seen_count():
     ids = {w: i for i, w in enumerate(counts)}
     assert scans.decode([word], {}, ids, counts, 1000) == [(0, "modern", "modem")]
     assert scans.decode([word | {"left": 50, "right": 50}], {}, ids, counts, 1000) == []
+
+
+def test_words_of_garbled_texts_count(spark):
+    """A misread word and a compound that stand in garbled texts only, in two rows that are the same."""
+    garble = lambda text: text.encode().decode("latin_1")
+    rows = ["این مقدار در درس معلوم است، زیرا بخش دوم بر بخش نخست استوار است."] * 40
+    rows += [garble("این مقدار در درس معلو* است، زیرا بخش دوم بر بخش نخست استوار است.")] * 2
+    rows += [garble("این بخش نیمه-رسانا است، زیرا بخش دوم بر بخش نخست استوار است.")] * 3
+    rows += ["این بخش دوم است و نیمه-\nرسانا است.", None, ""]
+    ords = [*range(40), 40, 40, *range(42, 48)]
+    corpus = spark.createDataFrame([(o, t, (None,)) for o, t in zip(ords, rows)], "ord int, text string, metadata struct<title: string>")
+    toc = spark.createDataFrame([], "chapter_title string, title string, frontmatter_chapter_title string")
+    got = [(r.ord, r.defect, r.seen, r.meant) for r in scans.scan_defects(corpus, toc).collect()]
+    assert got == [(40, "misread", "معلو*", "معلوم")] * 2
