@@ -44,18 +44,26 @@ _ODD = re.compile(
     "\u02c6-\u02dd\u0401-\u0491\u2500-\u25a0\ufffd]"
 )
 #: The same where the first byte turned into an Arabic letter and the second into a sign of any text.
-_ODD_ARABIC = re.compile("[\u0621-\u0624][\u00ab\u00b0-\u00b3\u00b7\u00bb\u00d7\u2030\u2122](?![\\s\u0600-\u06ff])")
+_ODD_ARABIC = re.compile("(?<=[\u0621-\u064a\u0671-\u06d3])[\u00ab\u00b0-\u00b3\u00b7\u00bb\u00d7\u2030\u2122](?![\\s\u0600-\u06ff])")
+#: The same where both bytes of two letters turned into letters and signs that Arabic text may have (cp1256), or a figure's into two signs (mac_roman).
+_SECOND = {name: "[" + "".join(re.escape(bytes((b,)).decode(name)) for b in range(0x80, 0xC0)) + "]" for name in ("cp1256", "mac_roman")}
+_TWICE = f"[\u0637-\u063a]{_SECOND['cp1256']}[\u0637-\u063a]{_SECOND['cp1256']}"
+_ODD_CP1256, _ODD_MAC = re.compile(_TWICE), re.compile(f"[\u2044\u20ac]{_SECOND['mac_roman']}")
+
 
 
 def is_suspect(text: str) -> bool:
-    """Whether a text may be garbled: a quick test that all garbled texts pass, and few others."""
+    """Whether a text may be garbled: a quick test that few others pass, and all garbled texts but a lone Arabic letter
+    read as cp1256."""
     if "??" in text or "&" in text:
         return True
-    return not text.isascii() and (_ODD.search(text) is not None or _ODD_ARABIC.search(text) is not None)
+    return not text.isascii() and (
+        _ODD.search(text) is not None or _ODD_ARABIC.search(text) is not None or _ODD_CP1256.search(text) is not None or _ODD_MAC.search(text) is not None
+    )
 
 
 #: What every reading as UTF-8 has: two signs beyond ASCII in a row, at most one of them Arabic.
-_PAIR = re.compile("[^\x00-\x7f\u0600-\u06ff\u200c-\u200f]{2}|[\u0621-\u06d3][\x80-\xaa\xac-\xba\xbc-\xbf\u0152-\u0192\u02c6-\u02dc\u201a-\u201c\u201e-\u203a\u20ac\u2122]|[\u0637-\u063a][\u200c-\u200f\u2018-\u201d]")
+_PAIR = re.compile("[^\x00-\x7f\u0600-\u06ff\u200c-\u200f]{2}|[\u0621-\u06d3][\x80-\xaa\xac-\xba\xbc-\xbf\u0152-\u0192\u02c6-\u02dc\u201a-\u201c\u201e-\u203a\u20ac\u2122]|[\u0637-\u063a][\u200c-\u200f\u2018-\u201d]|" + _TWICE)
 #: Three letters in a row that an Arabic single-byte text could have turned into.
 _UPPER_WORD = re.compile("[\u00c0-\u00ff\u0401-\u0491\u0152-\u0178\u0192\u02c6-\u02dd\u2500-\u259f]{3}")
 

@@ -74,3 +74,11 @@ def test_character_counts_against_plain_counts(spark, sf):
     pairs = collections.Counter(p for t in texts for p in zip(t, t[1:]) if max(map(ord, p)) < 0x700 and "\n" not in p)
     got = {p: n for p, n in pair_table(corpus, F.col("text")).items() if "\n" not in p}
     assert got == dict(pairs)
+
+
+@pytest.mark.parametrize("wrong", encoding.WRONG)
+@pytest.mark.parametrize("word", ["من", "قلم", "همه", "متن", "نفس", "في", "۱۱", "١١"])
+def test_single_garbled_words_are_found(repair, wrong, word):
+    bad = garble(word, wrong)
+    assert encoding.is_suspect(bad) and encoding.is_suspect(f"{FA} {bad}، {PS}")
+    assert repair.judge(f"{FA} {bad} {PS}")[:2] == ("restored", f"{FA} {word} {PS}")
