@@ -8,8 +8,9 @@ number of steps it takes, so all greedy cuts of all texts are marked in log2(lon
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +26,66 @@ SENTENCE_ENDS = ".!?؟۔…。"
 CLOSERS = "\"'”’»)]}"
 
 WORD, SENTENCE, PARAGRAPH = 1, 2, 3
+#: Names of the classes; the last one is the end of a text.
+BOUNDARIES = ["character", "word", "sentence", "paragraph", "text"]
 
 
-def boundaries(text: str, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """For each word (with the blanks before it), the class of the boundary at its end, before the next one's blanks."""
-    kind = np.full(len(words), WORD, np.int8)
-    for i, word in enumerate(words):
-        if i + 1 < len(words):
-            after = words[i + 1]
-            blanks = after[: len(after) - len(after.lstrip())]
-            if blanks.count("\n") > 1 or blanks.count("\r") > 1 or "\u2029" in blanks or "\x0c" in blanks:
-                kind[i] = PARAGRAPH
-                continue
-        if word.rstrip(CLOSERS)[-1:] in SENTENCE_ENDS and word.strip():
-            kind[i] = SENTENCE
-    if len(words):
-        kind[-1] = PARAGRAPH
-    return kind
+class WordTable(dict):
+    """Word (with the blanks before it) -> row of the table of what the cut needs to know of it; made when first seen.
+
+    Of a word: its characters, whether the blanks before it end a paragraph, and its tokens.  Of a token: how many of the
+    word's characters begin before its end, and the class of the boundary there (-1 where none may be cut).
+    """
+
+    def __init__(self, enc: Encoder, limit: int = 300_000):
+        super().__init__()
+        self.enc, self.limit = enc, limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.chars, self.heads, self.sizes, self.ends, self.kinds = array("i"), array("b"), array("i"), array("i"), array("b")
+
+    def __missing__(self, word: str) -> int:
+        self[word] = row = len(self)
+        ids = self.enc.words[word]
+        bare = word.lstrip()
+        blanks = word[: len(word) - len(bare)]
+        self.chars.append(len(word))
+        self.heads.append(blanks.count("\n") > 1 or blanks.count("\r") > 1 or "\u2029" in blanks or "\x0c" in blanks)
+        self.sizes.append(len(ids))
+        if len(ids) > 1:
+            data = np.frombuffer(word.encode("utf-8", "replace"), np.uint8)
+            begins = (data & 0xC0) != 0x80
+            at = np.cumsum(self.enc.lengths[list(ids[:-1])])
+            self.ends.extend(np.cumsum(begins)[at - 1].tolist())
+            # a piece that begins with an apostrophe could be split into other tokens
+            self.kinds.extend(np.where(begins[at] & (data[at] != 0x27), 0, -1).tolist())
+        self.ends.append(len(word))
+        self.kinds.append(SENTENCE if bare and word.rstrip(CLOSERS)[-1:] in SENTENCE_ENDS else WORD)
+        return row
+
+    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the words of all texts one after the other, and where each text's begin; the table is emptied between calls only."""
+        if len(self) > self.limit or len(self.ends) > 20 * self.limit:
+            self._empty()
+        flat, at = array("i"), [0]
+        for text in texts:
+            if text:
+                flat.extend(map(self.__getitem__, self.enc.pieces(text)))
+            at.append(len(flat))
+        return np.array(flat, np.int32), np.array(at)
+
+
+@lru_cache(maxsize=4)
+def word_table(tokenizer: str, folder: str) -> WordTable:
+    """One table a worker, kept between tasks."""
+    return WordTable(encoder(tokenizer, folder))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def successors(limit: np.ndarray, overlap: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray, min_fill: float) -> np.ndarray:
@@ -49,88 +93,90 @@ def successors(limit: np.ndarray, overlap: np.ndarray, first: np.ndarray, last:
 
     ``first`` and ``last`` are each position's text's begin and end positions. A text's end is its own successor.
     """
-    n = len(kind)
-    at = np.arange(n)
+    at = np.arange(len(kind), dtype=first.dtype)
     start = np.maximum(at - overlap, first)
     reach = np.minimum(start + limit, last)
-    floor = np.maximum(at, start + np.floor(limit * min_fill).astype(np.int64))
-    nxt = np.full(n, -1, np.int64)
-    for least, above in ((PARAGRAPH, floor), (SENTENCE, floor), (WORD, at), (0, at)):
-        before = np.maximum.accumulate(np.where(kind >= least, at, -1))
-        found = before[reach]
-        nxt = np.where((nxt < 0) & (found > above), found, nxt)
-    nxt = np.where(reach >= last, last, nxt)
-    return np.where(nxt < 0, np.minimum(at + 1, last), nxt)  # a single character longer than the limit
+    floor = np.maximum(at, start + (limit * min_fill).astype(at.dtype))
+    nxt = np.minimum(at + 1, last)  # a single character longer than the limit
+    for least, above in ((0, at), (WORD, at), (SENTENCE, floor), (PARAGRAPH, floor)):
+        found = np.maximum.accumulate(np.where(kind >= least, at, -1))[reach]
+        nxt = np.where(found > above, found, nxt)
+    return np.where(reach >= last, last, nxt)
 
 
 def reached(nxt: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Which positions the greedy walks from ``begins`` visit, by squaring the successor table."""
+    """Which positions the greedy walks from ``begins`` visit, by squaring the successor table.
+
+    After n squarings the table takes 2^n steps and all positions within 2^n - 1 steps are known; a turn that adds none
+    has passed the end of the longest walk.
+    """
     mark = np.zeros(len(nxt), bool)
     mark[begins] = True
+    known = begins
     while True:
-        more = mark.copy()
-        more[nxt[mark]] = True
-        squared = nxt[nxt]
-        if (more == mark).all() and (squared == nxt).all():
+        new = nxt[known]
+        new = new[~mark[new]]
+        if not len(new):
             return mark
-        mark, nxt = more, squared
-
-
-def cut_batch(enc: Encoder, texts: list[str | None], limits: list[int | None], overlaps: list[int | None], min_fill: float) -> list[list[tuple]]:
-    """For each text its pieces ``(piece_no, start_char, end_char, n_tokens, shared_tokens, boundary)``."""
-    result: list[list[tuple]] = [[] for _ in texts]
-    kinds, firsts, lasts, lims, laps, chars, who = [], [], [], [], [], [], []
-    base = 0
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        words = enc.pieces(text)
-        ids = list(map(enc.words.__getitem__, words))
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, limit = int(counts.sum()), limits[k]
-        if limit is None or limit < 1 or total <= limit:
-            result[k].append((0, 0, len(text), total, 0, "text"))
-            continue
-        # bytes of each token, so that a cut never falls within a character
-        size = enc.lengths[np.fromiter(chain.from_iterable(ids), np.int64, total)]
-        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        begins_char = np.concatenate([(data & 0xC0) != 0x80, [True]])
-        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        char_at = np.concatenate([[0], np.cumsum(begins_char[:-1])])[ends]
-        kind = np.where(begins_char[ends], 0, -1).astype(np.int8)
-        apostrophe = np.concatenate([data == 0x27, [False]])
-        kind[apostrophe[ends]] = -1  # a piece that begins with it could be split into other tokens
-        kind[np.cumsum(counts)] = boundaries(text, words, counts)
-        kind[0] = PARAGRAPH
-        m = total + 1
-        # an overlap that would begin within a character begins before it
-        whole = np.maximum.accumulate(np.where(kind >= 0, np.arange(m), 0))
-        lap = min(max(overlaps[k] or 0, 0), limit - 1)
-        back = np.arange(m) - whole[np.maximum(np.arange(m) - lap, 0)]
-        back = np.where(back >= limit, 0, back)
-        kinds.append(kind)
-        firsts.append(np.full(m, base))
-        lasts.append(np.full(m, base + m - 1))
-        lims.append(np.full(m, limit))
-        laps.append(back)
-        chars.append(char_at)
-        who.append((k, base, m))
-        base += m
-    if not who:
-        return result
-    kind, first, last = np.concatenate(kinds), np.concatenate(firsts), np.concatenate(lasts)
-    limit, lap, char_at = np.concatenate(lims), np.concatenate(laps), np.concatenate(chars)
-    begins = np.array([b for _, b, _ in who])
-    lap[begins] = 0
-    nxt = successors(limit, lap, first, last, kind, min_fill)
-    cuts = np.flatnonzero(reached(nxt, begins))
-    names = ("character", "word", "sentence", "paragraph")
-    for k, b, m in who:
-        own = cuts[np.searchsorted(cuts, b) : np.searchsorted(cuts, b + m)]
-        for no, (prev, end) in enumerate(zip(own[:-1], own[1:])):
-            start = prev - lap[prev]
-            result[k].append((no, int(char_at[start]), int(char_at[end]), int(end - start), int(lap[prev]), "text" if end == b + m - 1 else names[max(kind[end], 0)]))
-    return result
+        mark[new] = True
+        known = np.concatenate([known, new])
+        nxt = nxt[nxt]
+
+
+def cut_batch(table: WordTable, texts: list[str | None], limits: np.ndarray, overlaps: np.ndarray, min_fill: float) -> list[np.ndarray]:
+    """Pieces of all texts: which text, ``piece_no, start_char, end_char, n_tokens, shared_tokens`` and class of the boundary.
+
+    A limit under 1 is none.  The words' facts come from the table, so that the work on a text is array operations only.
+    """
+    words, begin = table.rows(texts)
+    sizes = np.array(table.sizes, np.int32)
+    upto = np.concatenate([[0], np.cumsum(sizes[words], dtype=np.int64)])
+    total = np.diff(upto[begin])
+    long = np.flatnonzero((limits > 0) & (total > limits))
+    short = np.flatnonzero((total > 0) & ~((limits > 0) & (total > limits)))
+    zero = np.zeros(len(short), np.int64)
+    one = [short, zero, zero, np.array([len(texts[k]) for k in short], np.int64), total[short], zero, np.full(len(short), PARAGRAPH + 1)]
+    if not len(long):
+        return one
+    n_words, n_tokens = np.diff(begin)[long], total[long]
+    words = words[_ranges(begin[long], n_words)]
+    size, chars = sizes[words], np.array(table.chars, np.int32)[words]
+    first_word, last_word = np.cumsum(n_words) - n_words, np.cumsum(n_words) - 1
+    # a position before each text's first token, then one after each token
+    span = n_tokens + 1
+    first = (np.cumsum(span) - span).astype(np.int32)
+    last = (first + n_tokens).astype(np.int32)
+    n = int(span.sum())
+    inner = np.ones(n, bool)
+    inner[first] = False
+    token = _ranges((np.cumsum(sizes, dtype=np.int64) - sizes)[words], size)
+    before = np.cumsum(chars, dtype=np.int64) - chars
+    before -= np.repeat(before[first_word], n_words)
+    kind, char_at = np.full(n, PARAGRAPH, np.int8), np.zeros(n, np.int32)
+    kind[inner] = np.array(table.kinds, np.int8)[token]
+    char_at[inner] = np.array(table.ends, np.int32)[token] + np.repeat(before, size)
+    ends = np.flatnonzero(inner)[np.cumsum(size) - 1]  # the position at the end of each word
+    breaks = np.array(table.heads, bool)[words]
+    breaks[first_word] = False
+    kind[ends[np.flatnonzero(breaks) - 1]] = PARAGRAPH
+    kind[ends[last_word]] = PARAGRAPH
+    limit = np.repeat(limits[long], span).astype(np.int32)
+    first_at, last_at, at = np.repeat(first, span), np.repeat(last, span), np.arange(n, dtype=np.int32)
+    # an overlap that would begin within a character begins before it
+    whole = np.maximum.accumulate(np.where(kind >= 0, at, 0))
+    lap = np.repeat(np.clip(overlaps[long], 0, limits[long] - 1), span).astype(np.int32)
+    lap = at - whole[np.maximum(at - lap, first_at)]
+    lap[lap >= limit] = 0
+    lap[first] = 0
+    cuts = np.flatnonzero(reached(successors(limit, lap, first_at, last_at, kind, min_fill), first))
+    prev, end = cuts[:-1], cuts[1:]
+    same = first_at[prev] == first_at[end]
+    prev, end = prev[same], end[same]
+    text = np.searchsorted(first, prev, "right") - 1
+    number = np.arange(len(prev)) - np.searchsorted(text, np.arange(len(long)))[text]
+    start = prev - lap[prev]
+    cls = np.where(end == last[text], PARAGRAPH + 1, np.maximum(kind[end], 0))
+    return [np.concatenate(c) for c in zip(one, [long[text], number, char_at[start], char_at[end], end - start, lap[prev], cls])]
 
 
 def split_long_texts(
@@ -156,17 +202,18 @@ def split_long_texts(
     source = joined.select("doc_id", "text", "_limit.max_tokens", "_limit.overlap_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, folder)
+        table = word_table(tokenizer, folder)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                found = cut_batch(enc, texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), min_fill)
-                rows = [(i, *p, t[p[1] : p[2]]) for i, t, pieces in zip(ids, texts, found) for p in pieces]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                columns = list(zip(*rows)) or [()] * len(kinds)
-                names = ["doc_id", "piece_no", "start_char", "end_char", "n_tokens", "shared_tokens", "boundary", "text"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-
+                ids, texts = batch.column(0), batch.column(1).to_pylist()
+                limits, overlaps = (np.array([n or 0 for n in batch.column(c).to_pylist()], np.int64) for c in (2, 3))
+                which, number, start, end, size, shared, cls = cut_batch(table, texts, limits, overlaps, min_fill)
+                parts = [texts[k][a:b] for k, a, b in zip(which.tolist(), start.tolist(), end.tolist())]
+                columns = [ids.take(pa.array(which)), *(pa.array(c.astype(np.int32)) for c in (number, start, end, size, shared))]
+                kind = pa.DictionaryArray.from_arrays(pa.array(cls.astype(np.int8)), pa.array(BOUNDARIES)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, kind, pa.array(parts, pa.string())], names=names)
+
+    names = ["doc_id", "piece_no", "start_char", "end_char", "n_tokens", "shared_tokens", "boundary", "text"]
     schema = "doc_id long, piece_no int, start_char int, end_char int, n_tokens int, shared_tokens int, boundary string, text string"
     return source.mapInArrow(run, schema)

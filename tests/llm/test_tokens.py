@@ -124,6 +124,20 @@ def test_pieces_hold_limits_and_cover_texts(spark, sf):
             assert enc.count(text[b.start_char : a.end_char]) == b.shared_tokens
 
 
+def test_boundaries_are_paragraphs_then_sentences_then_words():
+    """Facts are kept per word: the same word ends a paragraph only where the blanks after it do."""
+    import numpy as np
+
+    table = pieces.WordTable(encoder(), limit=3)
+    text = "Aa bb. Cc dd\n\nEe ff gg hh ii jj kk ll mm. nn oo pp qq"
+    for _ in range(2):  # the second time from a table that was emptied
+        which, number, start, end, size, shared, cls = pieces.cut_batch(table, [None, text, "", "dd"], np.array([5, 9, 6, 0]), np.zeros(4, int), 0.5)
+        rows = sorted(zip(which.tolist(), number.tolist(), start.tolist(), end.tolist(), cls.tolist()))
+        assert [(text[a:b], pieces.BOUNDARIES[c]) for k, _, a, b, c in rows if k == 1][0] == ("Aa bb. Cc dd", "paragraph")
+        assert "".join(text[a:b] for k, _, a, b, _ in rows if k == 1) == text and rows[-1] == (3, 0, 0, 2, 4)
+        assert {pieces.BOUNDARIES[c] for k, *_, c in rows if k == 1} >= {"paragraph", "word", "text"}
+
+
 def test_pieces_of_odd_inputs(spark):
     docs = spark.createDataFrame(
         [(1, None, "lesson", 9), (2, "", "lesson", 9), (3, "x" * 5000, None, 9), (4, "😀" * 40, "tiny", 9), (5, "one two", "other", 9)], "doc_id long, text string, doc_kind string, max_tokens int"
