@@ -60,6 +60,13 @@ def costs_of(counts: dict[int, int]) -> dict[str, float]:
     return {chr(cp): float(-np.log((n + 1) / total)) for cp, n in counts.items() if 0 <= cp < 0x10000}
 
 
-def pair_table(df: DataFrame, text: Column) -> dict[tuple[str, str], int]:
-    """Pair counts as a table; at most ``PAIR_LIMIT`` squared entries whatever the input, a few ten thousand in practice."""
-    return {(chr(r.a), chr(r.b)): r.n for r in pair_counts(df, text).collect()}
+def pair_table(df: DataFrame, text: Column, touching: set[str] | None = None) -> dict[tuple[str, str], int]:
+    """Pair counts as a table, with ``touching`` only of pairs that have one of these characters.
+
+    At most 2 * ``len(touching)`` * ``PAIR_LIMIT`` entries come to the driver whatever the input, a few ten thousand in practice.
+    """
+    counts = pair_counts(df, text)
+    if touching is not None:
+        codes = [ord(c) for c in sorted(touching)]
+        counts = counts.where(F.col("a").isin(codes) | F.col("b").isin(codes))
+    return {(chr(r.a), chr(r.b)): r.n for r in counts.collect()}

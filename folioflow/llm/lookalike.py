@@ -1,9 +1,10 @@
 """Problem 1: one form for texts that look the same.
 
 After compatibility normalisation (without raised and lowered figures, which look different) and deletion of ignorable
-characters, each Latin-looking token is a lattice: every character stands for all characters of the same look.  Viterbi
-finds the path with the best character-pair score of the collection, where changing the script within a token costs.
-The lattice depends on looks only, so tokens that look the same come out the same.
+characters, each run of letters and figures is a lattice: every character stands for all characters of the same look,
+and some signs (``DOUBTFUL``) may be themselves or, at a price, a letter they can be taken for.  Viterbi finds the path
+with the best character-pair score of the collection, where changing the script within a run costs.  The lattice depends
+on looks only, so runs that look the same come out the same; whether a doubtful sign is a letter the scores decide.
 """
 
 from __future__ import annotations
@@ -20,17 +21,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioflow.llm.charmodel import pair_table
 from folioflow.session import cut
 
-#: Letters of the same look, the Latin one first.
+#: Letters of the same look, the Latin one first (Latin, Cyrillic, Greek, Armenian, Cherokee).
 LOOKS = (
-    "aа", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iі", "jј", "oоο", "pр", "qԛ", "sѕ", "vѵν", "wԝ", "xх", "yу",
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "SЅ", "TТΤ", "XХΧ", "YҮΥ", "ZΖ",
+    "aа", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "oоοօ", "pр", "qԛ", "sѕ", "vѵν", "wԝ", "xх", "yу",
+    "AАΑᎪ", "BВΒᏴ", "CСϹᏟ", "DᎠ", "EЕΕᎬ", "GᏀ", "HНΗᎻ", "IІΙ", "JЈᎫ", "KКΚᏦ", "LᏞ", "MМΜᎷ", "NΝ", "OОΟՕ", "PРΡᏢ", "SЅՏᏚ", "TТΤᎢ", "VᏙ", "WԜᎳ", "XХΧ", "YҮΥ", "ZΖᏃ",
 )
 
-#: Arabic-script letters and digits of the same look, to the Persian one.
-ARABIC = {
-    "ي": "ی", "ى": "ی", "ك": "ک", "ە": "ه", "ہ": "ه",
-    "٠": "۰", "١": "۱", "٢": "۲", "٣": "۳", "٧": "۷", "٨": "۸", "٩": "۹",
-}
+#: Arabic-script letters and digits of the same look, the Persian one first.
+ARABIC_LOOKS = ("یيى", "کك", "هەہ", "۰٠", "۱١", "۲٢", "۳٣", "۷٧", "۸٨", "۹٩")
+
+#: The same as a table to the Persian one.
+ARABIC = {c: look[0] for look in ARABIC_LOOKS for c in look[1:]}
+
+#: Signs that may be themselves, or a letter that they can be taken for: the scores of the text around decide.
+DOUBTFUL = {"ρ": "p", "α": "a", "γ": "y", "υ": "u", "κ": "k", "ι": "i", "σ": "o", "η": "n", "Ӏ": "Il", "ӏ": "l", "ս": "u", "ո": "n", "հ": "h"}
+
+#: The price of reading a doubtful sign as another letter.
+DOUBT = 14.0
 
 #: Signs of the same look, to the plainest one.
 SIGNS = {"‐": "-", "‑": "-", "ʼ": "’", "\u2028": "\n", "\u2029": "\n", "\x85": "\n", "\t": " "}
@@ -42,10 +49,15 @@ SCRIPT_CHANGE = 8.0
 _KEEP = frozenset("№℠™℡")
 
 
+_LETTERS = frozenset("".join((*LOOKS, *DOUBTFUL)))
+
+
 def _form(char: str) -> str | None:
-    """What a single character is written as."""
+    """What a single character is written as: letters of the lattice stay as they are."""
     if char in SIGNS:
         return SIGNS[char]
+    if char in _LETTERS:
+        return char
     kind = unicodedata.category(char)
     if kind == "Zs":
         return " "
@@ -83,59 +95,81 @@ def compatible(text: str) -> str:
 
 
 def _script(char: str) -> int:
+    """A number for the script; figures belong to any."""
     cp = ord(char)
-    return 0 if cp < 0x370 else 1 if cp < 0x400 else 2 if cp < 0x530 else 3
+    if char.isdigit():
+        return -1
+    return 0 if cp < 0x370 else 1 if cp < 0x400 else 2 if cp < 0x530 else 3 if cp < 0x590 else 4 if cp < 0x1000 else 5
+
 
+class Lattice(dict):
+    """Viterbi over look-alike alternatives, by the pair counts of a collection.
+
+    The dictionary is from words between blanks to their form; it is filled on first sight and emptied when it grows too large.
+    """
 
-class Lattice:
-    """Viterbi over look-alike alternatives, by the pair counts of a collection."""
+    LIMIT = 300_000
 
     def __init__(self, pairs: dict[tuple[str, str], int]):
-        self.options = {c: tuple(look) for look in LOOKS for c in look}
-        letters = sorted({c for c in self.options} | {c for p in pairs for c in p if c.isalpha() and c < "Ա"})
-        known = set(letters)
+        super().__init__()
+        looks = (*LOOKS, *ARABIC_LOOKS)
+        self.first = str.maketrans({c: look[0] for look in looks for c in look[1:]})
+        self.options = {c: tuple(look) for look in looks for c in look}
+        for sign, letters in DOUBTFUL.items():
+            self.options[sign] = (sign, *(x for c in letters for x in self.options.get(c, (c,))))
+        known = set(self.options) | {c for p in pairs for c in p if c.isalnum()} | set("".join(map("".join, self.options.values())))
         left: dict[str, int] = {}
         for (a, b), n in pairs.items():
             if a in known and b in known:
                 left[a] = left.get(a, 0) + n
-        size = len(letters) + 1
+        size = len(known) + 1
         total = sum(left.values()) + size
-        self.single = {c: -math.log((left.get(c, 0) + 1) / total) for c in letters}
+        self.single = {c: -math.log((left.get(c, 0) + 1) / total) for c in known}
         self.rare = math.log(total)
         self.pairs = {(a, b): -math.log((n + 0.5) / (left[a] + 0.5 * size)) for (a, b), n in pairs.items() if a in known and b in known}
         self.left = {a: math.log((n + 0.5 * size) / 0.5) for a, n in left.items()}
         self.unseen = math.log(size)
-        self.memo: dict[str, str] = {}
-        looks = "".join(re.escape(c) for c in self.options)
-        self.tokens = re.compile(f"[^\\W\\d_\u0600-\uffff]*[{looks}][^\\W\\d_\u0600-\uffff]*")
+        self.runs = re.compile(f"[^\\W_]*[{''.join(map(re.escape, self.options))}][^\\W_]*")
 
     def _step(self, a: str, b: str) -> float:
         cost = self.pairs.get((a, b))
         if cost is None:
             cost = self.left.get(a, self.unseen)
-        return cost + (SCRIPT_CHANGE if _script(a) != _script(b) else 0.0)
+        one, other = _script(a), _script(b)
+        return cost + (SCRIPT_CHANGE if one != other and one >= 0 and other >= 0 else 0.0)
 
-    def best(self, token: str) -> str:
-        """The best spelling of a token; of equal ones the one with the earlier (Latin) letters."""
-        first = self.options.get(token[0], (token[0],))
-        paths = [(self.single.get(c, self.rare) + (0 if i == 0 else 1e-6), c) for i, c in enumerate(first)]
-        for char in token[1:]:
+    def best(self, run: str) -> str:
+        """The best spelling of a run; of equal ones the one with the earlier alternatives."""
+        paths, before = [(0.0, "")], ""
+        for char in run:
             options = self.options.get(char, (char,))
-            paths = [min(((cost + self._step(text[-1], c), text + c) for cost, text in paths), key=lambda p: p[0]) for c in options]
+            ways = []
+            for i, c in enumerate(options):
+                own = DOUBT if i and char in DOUBTFUL else 0.0
+                if not before:
+                    ways.append((self.single.get(c, self.rare) + own, c))
+                else:
+                    cost, text = min(((cost + self._step(text[-1], c), text) for cost, text in paths), key=lambda p: p[0])
+                    ways.append((cost + own, text + c))
+            paths, before = ways, char
         return min(paths, key=lambda p: p[0])[1]
 
-    def _token(self, match: re.Match) -> str:
-        token = match.group()
-        found = self.memo.get(token)
-        if found is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            # a token without look-alikes of another script has the form that its look decides; long ones as any other
-            self.memo[token] = found = self.best("".join(self.options.get(c, (c,))[0] for c in token))
-        return found
+    def __missing__(self, word: str) -> str:
+        # every character becomes the first of its look before the search, so that equal looks are equal lattices
+        form = self.runs.sub(lambda m: self.best(m.group().translate(self.first)), compatible(word))
+        if len(self) > self.LIMIT:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = form
+        return form
 
     def canonical(self, text: str) -> str:
-        return self.tokens.sub(self._token, compatible(text))
+        """Words are looked up one by one: no run has a blank in it, and a mark after a blank stays a mark by itself."""
+        if "\u00ad" in text:
+            text = _HYPHENATED.sub("-", text)
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+        return "\n".join([" ".join(map(self.__getitem__, line.split(" "))) for line in text.split("\n")])
 
 
 def one_form(df: DataFrame, keep: list[str], text: str, pairs: dict[tuple[str, str], int], name: str = "text") -> DataFrame:
@@ -175,23 +209,38 @@ def _digests(df: DataFrame, table: str, source: Column, text: Column, pairs: dic
 
 
 def collection_pairs(corpus: DataFrame, toc: DataFrame) -> dict[tuple[str, str], int]:
-    """Pair counts over all texts and titles."""
+    """Counts over all texts and titles of the pairs with a character of the lattice in them: so many at most, whatever the input."""
     both = corpus.select(F.col("text").alias("t")).unionByName(toc.select(F.col("chapter_title").alias("t")))
-    return pair_table(both, F.col("t"))
+    return pair_table(both, F.col("t"), {*"".join((*LOOKS, *ARABIC_LOOKS, *DOUBTFUL, *DOUBTFUL.values()))})
+
+
+def _rows(corpus: DataFrame, toc: DataFrame, pairs: dict) -> DataFrame:
+    rows = _digests(corpus, "corpus", F.col("metadata.source_id"), F.col("text"), pairs)
+    return rows.unionByName(_digests(toc, "toc", F.col("source_id"), F.col("chapter_title"), pairs))
+
 
+def same_look_groups(corpus: DataFrame, toc: DataFrame) -> DataFrame:
+    """``table_name, ord, look, spelling``: rows with a source and a text, by what is seen and how it is written.
 
-def same_look_pairs(corpus: DataFrame, toc: DataFrame) -> DataFrame:
+    Rows of equal ``look`` (hexadecimal digest of table, source and look) read the same; ``spelling`` is the least ``ord``
+    of the rows that are written in the very same way.  This names every class without a pair of copies; it takes one
+    grouping by (look, spelling) that is summed map side, and a join back to it.
+    """
+    rows = cut(_rows(corpus, toc, collection_pairs(corpus, toc)))
+    least = rows.groupBy("look", "raw").agg(F.min("ord").alias("spelling"))
+    return rows.join(least, ["look", "raw"]).select("table_name", "ord", F.lower(F.hex("look")).alias("look"), "spelling")
+
+
+def same_look_pairs(corpus: DataFrame, toc: DataFrame, pairs: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """``table_name, ord_a, ord_b``: two rows of a table and source, written differently but read the same.
 
     Null sources and null or blank texts are no case; rows with the very same text make no pair with each other.  Rows
     meet by a digest of source and look, so only equal looks are joined; within a look the distinct spellings are paired
     first and the rows come in by spelling, so that many copies of one spelling cost nothing unless they are cases.
+    ``same_look_groups`` has the same classes without expanding them to pairs.
     """
-    pairs = collection_pairs(corpus, toc)
-    rows = _digests(corpus, "corpus", F.col("metadata.source_id"), F.col("text"), pairs).unionByName(
-        _digests(toc, "toc", F.col("source_id"), F.col("chapter_title"), pairs)
-    )
-    rows = cut(rows)  # some bytes a row, used three times below
+    pairs = collection_pairs(corpus, toc) if pairs is None else pairs
+    rows = cut(_rows(corpus, toc, pairs))  # some bytes a row, used three times below
     spellings = rows.select("look", "raw").distinct()
     several = spellings.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     spellings = spellings.join(several, "look", "left_semi")
