@@ -1,9 +1,12 @@
 """Problem 6: noise of scanned pages, by noisy-channel correction and line analysis.
 
-Words are counted over the whole collection.  Each word that confusions of characters turn into another known one gets
-all of those as candidates; in its line, Viterbi over the word as seen and its candidates weighs the confusions' cost
-against the likelihood of words and word pairs.  Running headers are lines that equal a title; page numbers are lines of their own that are no
-answers; a word broken at a line end is joined unless its hyphenated form is the more frequent one.
+Words are counted over the whole collection.  The channel says how probable it is that a part of a word as seen stands
+for another part that was printed; its probabilities are estimated from the collection: signs between letters are aligned
+with known words first, then expectation maximisation over all words and their candidates, from a prior.  Each word that
+the channel turns into another known one gets all of those as candidates; in its line, Viterbi over the word as seen and
+its candidates weighs the channel's cost against the likelihood of words and word pairs.  Running headers are lines that
+equal a title; page numbers are lines of their own that are no answers; a word broken at a line end is joined unless its
+hyphenated form is the more frequent one.
 """
 
 from __future__ import annotations
@@ -20,20 +23,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folioflow.llm.charmodel import char_costs, code_points, costs_of
+from folioflow.llm.charmodel import code_points, costs_of
 from folioflow.llm.encoding import Repair, is_suspect
 from folioflow.llm.lookalike import compatible
 from folioflow.session import cut
 
-#: What is seen for what was printed, and the cost of that (negative log likelihood against other reasons).
+#: What is seen for what was printed, and how probable that is before the collection is looked at.
 CONFUSIONS = (
-    ("rn", "m", 3.0), ("li", "h", 3.0), ("cl", "d", 3.0), ("vv", "w", 3.0), ("c", "e", 3.0),
-    ("0", "o", 1.0), ("1", "l", 1.0), ("1", "i", 1.0), ("|", "i", 1.0), ("|", "l", 1.0), ("5", "s", 1.0), ("†", "t", 1.0), ("9", "g", 1.0), ("6", "b", 1.0), ("8", "b", 1.0),
-    ("1", "ا", 1.0), ("l", "ا", 1.0), ("|", "ا", 1.0), ("9", "و", 1.0), ("0", "ه", 1.0), ("5", "ه", 1.5), ("*", "م", 1.0), ("ں", "ن", 1.0), ("ٮ", "ب", 1.0), ("ڡ", "ف", 1.0), ("،", "", 1.0), (",", "", 1.0),
+    ("rn", "m", 0.05), ("li", "h", 0.05), ("cl", "d", 0.05), ("vv", "w", 0.05), ("c", "e", 0.05),
+    ("0", "o", 0.35), ("1", "l", 0.35), ("1", "i", 0.35), ("|", "i", 0.35), ("|", "l", 0.35), ("5", "s", 0.35), ("†", "t", 0.35), ("9", "g", 0.35), ("6", "b", 0.35), ("8", "b", 0.35),
+    ("1", "ا", 0.35), ("l", "ا", 0.35), ("|", "ا", 0.35), ("9", "و", 0.35), ("0", "ه", 0.35), ("5", "ه", 0.25), ("*", "م", 0.35), ("ں", "ن", 0.35), ("ٮ", "ب", 0.35), ("ڡ", "ف", 0.35), ("،", "", 0.35), (",", "", 0.35),
 )
-
-#: So many of the most frequent words carry the word-pair model; rarer words are scored by themselves.
-COMMON = 50_000
+#: The prior weighs as many sightings of the part; probabilities stay within these bounds.
+PRIOR_WEIGHT, LEAST_SHARE, MOST_SHARE = 50.0, 0.01, 0.6
+#: A sign between letters that stands for the same letter so often, and in this share of its sightings, is a confusion, too.
+LEAST_SEEN, LEAST_ALIGNED, MOST_ALIGNED = 10, 0.1, 200
+#: Turns of expectation maximisation.
+TURNS = 2
+
+#: Words with at least this share of all words carry the word-pair model: a million at most, however large the collection is.
+COMMON_SHARE = 1e-6
+#: The first word of a pair in its key.
+BASE = 1 << 20
+#: Longer words are never looked at; shorter ones than the second have one confusion only.
+LONGEST, TWO_CONFUSIONS = 64, 5
+#: Longer lines are no page numbers, and no titles.
+PAGE_LINE, TITLE_LINE = 60, 120
 #: Share of a word's likelihood that its pair with the word before it has.
 PAIR_WEIGHT = 0.6
 #: A pair with a doubtful word as seen weighs half if it stands so often elsewhere: fewer may be copies of one misread text.
@@ -41,11 +56,12 @@ PAIR_WEIGHT = 0.6
 COPIES = 20.0
 #: A sign or figure between the letters of a word: no spelling, whatever the word may be.
 _INNER = re.compile(r"[^\W\d_][0-9|*†ںٮڡ،,]+[^\W\d_]")
+#: Latin formulas such as h2so4 have these, too.
+_FORMULA = re.compile(r"[a-z]*\d[a-z]+\d")
 #: The price of taking such a word for right.
 INNER_PRICE = 8.0
 
 _EDGE = ".,:;!?()«»“”\"'’‘،؛؟…[]{}–—-‐¬\u00ad"
-_SEEN = re.compile("|".join(re.escape(s) for s, _, _ in CONFUSIONS))
 _DIGITS = "0-9۰-۹٠-٩"
 _NUMBER = rf"[{_DIGITS}]{{1,4}}"
 #: What may stand around a page number; question and replacement marks are lost text.
@@ -58,6 +74,7 @@ _PAGE = re.compile(
 _NUMBERED = re.compile(rf"^(?:[{_DIGITS}]+\s*[).]|[{_DIGITS}]+\s*[-:]\s*[{_DIGITS}])")
 _PLAIN = re.compile(rf"^[{_DIGITS}]+$")
 _ANSWERS = re.compile(r"^(?:answers?|keys?|solutions?|results?|پاسخ(?:\u200c?ها)?|جواب(?:\u200c?ها)?|ځواب(?:ونه)?|الأ?جوبة|الاجوبة|الإجابات|الحلول|پایلې)\s*:?$", re.IGNORECASE)
+_ARABIC_LETTER, _LATIN_LETTER = re.compile("[\u0620-\u06ff]"), re.compile("[a-z]")
 _LINE_END = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
 _BREAK = re.compile("[^\\W\\d_]([-‐‑¬\u00ad])$")
 
@@ -81,13 +98,54 @@ def words_of(line: str) -> list[str]:
     return list(map(_PLAIN_WORDS.__getitem__, line.lower().split()))
 
 
+class Channel:
+    """Confusions and their probabilities: what a part as seen stands for."""
+
+    def __init__(self, confusions: list[tuple[str, str, float]] | tuple = CONFUSIONS):
+        self.parts = [(seen, true) for seen, true, _ in confusions]
+        self.shares = [share for _, _, share in confusions]
+        self.costs = [-math.log(share) for share in self.shares]
+        self.seen = re.compile("|".join(sorted({re.escape(s) for s, _ in self.parts}, key=lambda s: (-len(s), s))))
+
+    def may_be_misread(self, word: str) -> bool:
+        return 2 < len(word) <= LONGEST and self.seen.search(word) is not None
+
+    def candidates(self, word: str) -> dict[str, tuple[float, tuple[int, ...]]]:
+        """Words that one or two confusions turn into ``word``, with their cost and the confusions."""
+        places = [(m, len(s), t, i) for i, (s, t) in enumerate(self.parts) for m in _at(word, s)]
+        found: dict[str, tuple[float, tuple[int, ...]]] = {}
+
+        def add(*parts: tuple) -> None:
+            out, at = [], 0
+            for place, size, true, _ in parts:
+                out += [word[at:place], true]
+                at = place + size
+            made = "".join(out) + word[at:]
+            uses = tuple(p[3] for p in parts)
+            cost = sum(self.costs[i] for i in uses)
+            if made != word and cost < found.get(made, (1e9,))[0]:
+                found[made] = (cost, uses)
+
+        for p in places:
+            add(p)
+        if len(word) >= TWO_CONFUSIONS:
+            for one, two in combinations(sorted(places), 2):
+                if one[0] + one[1] <= two[0]:
+                    add(one, two)
+        return found
+
+
 class _Ids(dict):
     """Word -> id of a common word; -1 for others that may be misread, -2 for what is never looked at."""
 
+    def __init__(self, common: list[str], channel: Channel):
+        super().__init__({w: i for i, w in enumerate(common)})
+        self.channel, self.limit = channel, len(common) + 300_000
+
     def __missing__(self, word: str) -> int:
-        if len(self) > COMMON + 300_000:
-            return -1 if len(word) > 2 and _SEEN.search(word) else -2
-        self[word] = kind = -1 if len(word) > 2 and _SEEN.search(word) else -2
+        kind = -1 if self.channel.may_be_misread(word) else -2
+        if len(self) <= self.limit:
+            self[word] = kind
         return kind
 
 
@@ -98,7 +156,7 @@ def split_lines(text: str) -> list[str]:
 def page_lines(lines: list[str]) -> list[bool]:
     """Which lines are page numbers: a number in a line of its own, in whatever dress; not an answer or exercise number."""
     stripped = [line.strip() for line in lines]
-    number = [0 < len(s) < 60 and bool(_PAGE.match(s)) and not _NUMBERED.match(s) for s in stripped]
+    number = [0 < len(s) < PAGE_LINE and bool(_PAGE.match(s)) and not _NUMBERED.match(s) for s in stripped]
     out = number[:]
     listing = False
     full = [k for k, s in enumerate(stripped) if s]
@@ -171,31 +229,6 @@ def title_form(title: str) -> str:
     return " ".join((title if title.isascii() else compatible(title)).lower().split()).strip(" .:;*|—–-")
 
 
-def candidates(word: str) -> dict[str, float]:
-    """Words that one or two confusions turn into ``word``, with their cost."""
-    places = [(m, len(s), t, c) for s, t, c in CONFUSIONS for m in _at(word, s)]
-    found: dict[str, float] = {}
-
-    def add(parts: tuple) -> None:
-        parts = sorted(parts, key=lambda p: p[0])
-        if any(a[0] + a[1] > b[0] for a, b in zip(parts, parts[1:])):
-            return
-        out, at, cost = [], 0, 0.0
-        for place, size, true, price in parts:
-            out += [word[at:place], true]
-            at, cost = place + size, cost + price
-        made = "".join(out) + word[at:]
-        if made != word and cost < found.get(made, 1e9):
-            found[made] = cost
-
-    for p in places:
-        add((p,))
-    if len(word) >= 5 and len(places) <= 14:
-        for pair in combinations(places, 2):
-            add(pair)
-    return found
-
-
 def _at(word: str, part: str) -> list[int]:
     out, i = [], word.find(part)
     while i >= 0:
@@ -280,41 +313,128 @@ def _restored(found: DataFrame, costs: dict[str, float]) -> DataFrame:
     return rows.mapInArrow(run, "ord int, text string, title string")
 
 
-def corrections(counts: DataFrame) -> DataFrame:
-    """``word, n, options``: words that may be misread, with all known words they may have been (``cand, n, cost``), best first.
+def _table(rows: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _is_word(text: str) -> bool:
+    """Letters of one script."""
+    return len(text) > 2 and all(c.isalpha() or combining(c) for c in text) and not (_ARABIC_LETTER.search(text) and _LATIN_LETTER.search(text))
+
+
+def _fits(word: str, true: str) -> bool:
+    """Whether the letters of a word allow for a letter of the script of ``true``."""
+    return not true or bool(_ARABIC_LETTER.search(word)) == bool(_ARABIC_LETTER.match(true))
+
+
+def aligned_signs(counts: DataFrame) -> list[tuple[str, str, float]]:
+    """Confusions found in the collection itself: signs between letters, aligned with known words.
 
-    A word with a sign between its letters has candidates that no text has, too; as these differ by nothing but their
-    cost, only the first of them is kept.
+    A word with one sign between its letters meets the known words that have any letter in the sign's place, by what is
+    left of both; the sign's sightings are shared among these by their counts.  Not more than ``MOST_ALIGNED`` come to the driver.
     """
 
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if not 3 < len(word) <= LONGEST:
+                    continue
+                odd = [i for i, c in enumerate(word) if not (c.isalpha() or combining(c))]
+                if not odd:
+                    rows += [(word[:i] + "\0" + word[i + 1 :], None, word[i], n) for i in range(1, len(word) - 1)]
+                elif len(odd) == 1 and 0 < odd[0] < len(word) - 1 and word[odd[0]] not in " ?\ufffd":
+                    rows.append((word[: odd[0]] + "\0" + word[odd[0] + 1 :], word[odd[0]], None, n))
+            yield _table(rows, ["mask", "sign", "letter", "n"], (pa.string(), pa.string(), pa.string(), pa.int64()))
+
+    made = counts.mapInArrow(masks, "mask string, sign string, letter string, n long")
+    odd = made.where("sign is not null").select("mask", "sign", F.col("n").alias("n_odd"))
+    known = made.where("letter is not null").join(odd.select("mask").distinct(), "mask", "left_semi").groupBy("mask", "letter").agg(F.sum("n").alias("n"))
+    whole = known.groupBy("mask").agg(F.sum("n").alias("whole"))
+    met = odd.join(known, "mask").join(whole, "mask").groupBy("sign", "letter").agg(F.sum(F.col("n_odd") * F.col("n") / F.col("whole")).alias("e"))
+    all_ = odd.groupBy("sign").agg(F.sum("n_odd").alias("seen"))
+    found = met.join(all_, "sign").where((F.col("e") >= LEAST_SEEN) & (F.col("e") / F.col("seen") >= LEAST_ALIGNED))
+    return [(r.sign, r.letter, min(r.e / r.seen, MOST_SHARE)) for r in found.orderBy(F.desc("e"), "sign", "letter").limit(MOST_ALIGNED).collect()]
+
+
+def corrections(counts: DataFrame, channel: Channel) -> DataFrame:
+    """``word, n, inner, cand, n_cand, uses``: words that may be misread, with each known word they may have been and the
+    confusions (numbers of ``channel``) between them.  Words with a sign between their letters have unknown candidates, too."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(word) < 3 or len(word) > 40 or sum(map(str.isalpha, word)) * 2 < len(word) or not _SEEN.search(word):
-                    continue
-                rows += [(word, n, made, cost) for made, cost in candidates(word).items() if len(made) > 2 and all(c.isalpha() or combining(c) for c in made)]
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.float64()))], names=["word", "n", "cand", "cost"])
+                if channel.may_be_misread(word) and sum(map(str.isalpha, word)) * 2 >= len(word):
+                    inner = _INNER.search(word) is not None and not _FORMULA.match(word)
+                    rows += [(word, n, inner, made, list(uses)) for made, (_, uses) in channel.candidates(word).items() if _is_word(made)]
+            yield _table(rows, ["word", "n", "inner", "cand", "uses"], (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int32())))
 
-    made = counts.mapInArrow(make, "word string, n long, cand string, cost double")
-    made = made.withColumn("inner", F.col("word").rlike(_INNER.pattern.replace(r"[^\W\d_]", r"\p{L}")) & ~F.col("word").rlike(r"^[a-z]*\d[a-z]+\d"))
+    made = counts.mapInArrow(make, "word string, n long, inner boolean, cand string, uses array<int>")
     known = counts.select(F.col("word").alias("cand"), F.col("n").alias("n_cand"))
-    good = made.join(known, "cand", "left").where(F.col("inner") | F.col("n_cand").isNotNull()).fillna(0, "n_cand")
+    return made.join(known, "cand", "left").where(F.col("inner") | F.col("n_cand").isNotNull()).fillna(0, "n_cand")
+
+
+def _cost(channel: Channel, uses) -> F.Column:
+    table = F.array(*[F.lit(c) for c in channel.costs])
+    return F.aggregate(uses, F.lit(0.0), lambda total, i: total + F.element_at(table, i + 1))
+
+
+def learned_channel(counts: DataFrame, made: DataFrame, channel: Channel) -> Channel:
+    """The channel after one turn of expectation maximisation.
+
+    A word's sightings are shared between itself, by how often it occurs beside one of them, and its known candidates, by
+    their counts times the probability of their confusions; so many sightings of a part stand for another one.  Divided
+    by all sightings of the part in words of that script that may be misread, and smoothed by the prior, this is the new
+    probability.
+    """
+    weight = F.col("n_cand") * F.exp(-_cost(channel, F.col("uses")))
+    shares = made.where("n_cand > 0").withColumn("w", weight)
+    per_word = shares.groupBy("word", "n").agg(F.sum("w").alias("all"))
+    own = F.greatest(F.col("n") - 1, F.lit(0.5))
+    used = shares.join(per_word, ["word", "n"]).select(F.explode("uses").alias("i"), (F.col("n") * F.col("w") / (F.col("all") + own)).alias("e"))
+    expected = {r.i: r.e for r in used.groupBy("i").agg(F.sum("e").alias("e")).collect()}
+
+    def sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * len(channel.parts)
+        for batch in batches:
+            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if channel.may_be_misread(word):
+                    for i, (part, true) in enumerate(channel.parts):
+                        if part in word and _fits(word, true):
+                            total[i] += n * len(_at(word, part))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], names=["i", "n"])
+
+    seen = {r.i: r.n for r in counts.mapInArrow(sightings, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    new = []
+    for i, ((part, true), share) in enumerate(zip(channel.parts, channel.shares)):
+        share = (expected.get(i, 0.0) + PRIOR_WEIGHT * share) / (seen.get(i, 0) + PRIOR_WEIGHT)
+        new.append((part, true, min(max(share, LEAST_SHARE), MOST_SHARE)))
+    return Channel(new)
+
+
+def weighed(made: DataFrame, channel: Channel) -> DataFrame:
+    """``word, n, options``: each word with all its known candidates (``cand, n, cost``), best first.
+
+    Without any it has the best of those that no text has, as these differ by nothing but their cost.
+    """
+    cost = _cost(channel, F.col("uses"))
     option = F.struct((F.col("cost") - F.log(F.col("n_cand") + 0.1)).alias("rank"), "cand", F.col("n_cand").alias("n"), "cost")
-    ranked = good.groupBy("word", "n").agg(F.array_sort(F.collect_list(option)).alias("all"))
-    options = F.concat(F.filter("all", lambda o: o["n"] > 0), F.slice(F.filter("all", lambda o: o["n"] == 0), 1, 1))
+    ranked = made.withColumn("cost", cost).groupBy("word", "n").agg(F.array_sort(F.collect_list(option)).alias("all"))
+    known = F.filter("all", lambda o: o["n"] > 0)
+    options = F.when(F.size(known) > 0, known).otherwise(F.slice("all", 1, 1))
     return ranked.select("word", "n", options.alias("options"))
 
 
-def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int) -> DataFrame:
+def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int, channel: Channel) -> DataFrame:
     """One pass over the texts: page numbers, possible headers and breaks, words that may be misread, and word pairs.
     Texts that may be garbled are taken from ``mended``.  The first ``sure`` common words are not misread, the others may be.
 
     ``kind`` P: page number; H: line ``a`` may be a title; T: line ``a`` is the record's own title or a stray line; B: line ends with ``a``
     broken by the sign in ``c``, next comes ``b``; W: word ``a`` (with id ``key`` if it is common) at ``pos`` between ``b`` and ``c``; G: ``n`` pairs ``key``.
     """
-    shared = corpus.sparkSession.sparkContext.broadcast(common)
+    shared = corpus.sparkSession.sparkContext.broadcast((common, channel))
     names = ["kind", "ord", "line", "pos", "a", "b", "c", "key", "n"]
     kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
 
@@ -331,7 +451,7 @@ def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int) -
         return pa.RecordBatch.from_arrays([pa.array(["G"] * len(keys), pa.string()), *empty, pa.array(keys), pa.array(n)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids({w: i for i, w in enumerate(shared.value)})
+        ids = _Ids(*shared.value)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             rows: list[tuple] = []
@@ -351,7 +471,7 @@ def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int) -
                         continue
                     if stray[i]:
                         rows.append(("T", ord_, i, None, title_form(line), None, None, None, None))
-                    elif several and 0 < len(s := line.strip()) < 120 and s[-1] not in ".!?؟":
+                    elif several and 0 < len(s := line.strip()) < TITLE_LINE and s[-1] not in ".!?؟":
                         for form in header_form(s):
                             if form == own:
                                 rows.append(("T", ord_, i, None, form, None, None, None, None))
@@ -376,7 +496,7 @@ def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int) -
             yield table(rows)
             known = np.frombuffer(seen, np.int32).astype(np.int64) if seen else np.zeros(0, np.int64)
             both = (known[:-1] >= 0) & (known[1:] >= 0)
-            found.append(np.unique((known[:-1] * COMMON + known[1:])[both], return_counts=True))
+            found.append(np.unique((known[:-1] * BASE + known[1:])[both], return_counts=True))
             if sum(len(k) for k, _ in found) > 2_000_000:
                 found = [summed(found)]
                 if len(found[0][0]) > 1_000_000:
@@ -402,7 +522,7 @@ def decode(line: list[dict], pairs: dict[int, int], ids: dict[str, int], counts:
         p = (1 - PAIR_WEIGHT) * max(n, 1) / total
         a, b = ids.get(before, -1), ids.get(word, -1)
         if a >= 0 and b >= 0:
-            found = pairs.get(a * COMMON + b, 0)
+            found = pairs.get(a * BASE + b, 0)
         if few:
             found = max(found - 1, 0)
         if found:
@@ -436,21 +556,34 @@ def scan_defects(corpus: DataFrame, toc: DataFrame) -> DataFrame:
     """``ord, line, pos, defect, seen, meant``: every defect of every record, at its line (from 0).
 
     ``defect``: hyphen (the broken word's halves in ``seen``, the word in ``meant``), misread, header or pageno.  Null and
-    blank texts have none.  All counts are over all records, garbled ones as they were before; what comes to the driver is the character table and the
-    ``COMMON`` most frequent words.  Joins are by word, by word pair and by title, so no task holds a record group.
+    blank texts have none.  All counts are over all records, garbled ones as they were before; what comes to the driver is
+    the character table, the channel and the words with a share of ``COMMON_SHARE`` or more, a million at most.  Joins are
+    by word, by word pair and by title, so no task holds a record group.
     """
+    return _scan(corpus, toc)[0]
+
+
+def _scan(corpus: DataFrame, toc: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """The defects, and the character costs of the collection."""
     spark = corpus.sparkSession
     found = cut(word_counts(_texts(corpus)))
     costs = costs_of({r.cp: r.n for r in found.where("cp is not null").select("cp", "n").collect()})
     mended = cut(_restored(found, costs))
     counts = found.unionByName(word_counts(mended, raw=False)).where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts)
-    fixes = cut(corrections(counts))
-    usual = counts.orderBy(F.desc("n"), "word").limit(COMMON).join(fixes.select("word", F.lit(True).alias("doubt")), "word", "left").collect()
-    usual.sort(key=lambda r: (bool(r.doubt), -r.n, r.word))
-    common, common_n, sure = [r.word for r in usual], {r.word: r.n for r in usual}, sum(not r.doubt for r in usual)
     total = counts.agg(F.sum("n")).first()[0] or 1
-    marks = cut(_marks(corpus, mended, common, sure))
+    known = {c[:2] for c in CONFUSIONS}
+    channel = Channel([*CONFUSIONS, *(c for c in aligned_signs(counts) if c[:2] not in known)])
+    made = cut(corrections(counts, channel))
+    for _ in range(TURNS):
+        channel = learned_channel(counts, made, channel)
+    fixes = cut(weighed(made, channel))
+    doubt = fixes.select("word", F.lit(True).alias("doubt"))
+    usual = counts.where(F.col("n") >= total * COMMON_SHARE).join(doubt, "word", "left").toPandas()
+    usual = usual.assign(doubt=usual["doubt"].notna()).sort_values(["doubt", "n", "word"], ascending=[True, False, True])
+    common, sure = usual["word"].tolist(), int((~usual["doubt"]).sum())
+    common_n = dict(zip(common, usual["n"].tolist()))
+    marks = cut(_marks(corpus, mended, common, sure, channel))
     shared = spark.sparkContext.broadcast((common_n, total))
 
     doubtful = marks.where("kind = 'W'").select("ord", "line", "pos", "a", "b", "c", "key").join(fixes.withColumnRenamed("word", "a"), "a")
@@ -470,7 +603,7 @@ def scan_defects(corpus: DataFrame, toc: DataFrame) -> DataFrame:
                     now = [w["a"], *(x["cand"] for x in w["options"])]
                     keys |= {(x, y) for x in [w["b"], *before] for y in now} | {(x, w["c"]) for x in now}
                     before = now
-                out += [(o, line, ids[x] * COMMON + ids[y]) for x, y in keys if x in ids and y in ids]
+                out += [(o, line, ids[x] * BASE + ids[y]) for x, y in keys if x in ids and y in ids]
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], names=["ord", "line", "key"])
 
@@ -510,12 +643,13 @@ def scan_defects(corpus: DataFrame, toc: DataFrame) -> DataFrame:
 
     nothing = F.lit(None).cast("string")
     place = F.lit(None).cast("int").alias("pos")
-    return (
+    defects = (
         misread.select("ord", "line", "pos", F.lit("misread").alias("defect"), "seen", "meant")
         .unionByName(hyphens.select("ord", "line", place, F.lit("hyphen").alias("defect"), F.col("two").alias("seen"), F.col("one").alias("meant")))
         .unionByName(headers.select("ord", "line", place, F.lit("header").alias("defect"), F.col("a").alias("seen"), nothing.alias("meant")))
         .unionByName(marks.where("kind = 'P'").select("ord", "line", place, F.lit("pageno").alias("defect"), nothing.alias("seen"), nothing.alias("meant")))
     )
+    return defects, costs
 
 
 def defect_kinds(corpus: DataFrame, toc: DataFrame) -> DataFrame:
@@ -586,8 +720,8 @@ def clean_scans(corpus: DataFrame, toc: DataFrame) -> DataFrame:
 
     A record without defects keeps its text as it is; a null text stays null.
     """
-    costs = char_costs(corpus, F.col("text"))
-    found = scan_defects(corpus, toc).groupBy("ord").agg(F.collect_list(F.struct("line", "pos", "defect", "seen", "meant")).alias("found"))
+    defects, costs = _scan(corpus, toc)
+    found = defects.groupBy("ord").agg(F.collect_list(F.struct("line", "pos", "defect", "seen", "meant")).alias("found"))
     source = corpus.select("ord", "text").join(found, "ord", "left")
     shared = corpus.sparkSession.sparkContext.broadcast(costs)
 

@@ -98,7 +98,29 @@ def test_candidates_undo_confusions():
         for i, s, t in rnd.sample(places, min(5, len(places))):
             seen = word[:i] + s + word[i + len(t) :]
             if seen != word:
-                assert word in scans.candidates(seen)
+                assert word in scans.Channel().candidates(seen)
+
+
+def test_signs_are_aligned_with_known_words(spark):
+    rows = [("house", 90), ("mouse", 40), ("horse", 30), ("sour", 5), ("hou§e", 8), ("mou§e", 7), ("ho§se", 2), ("mo\ufffdse", 90), ("a-b", 4), ("x" * 500, 2), ("", 1)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    (sign, letter, share), *rest = scans.aligned_signs(counts)
+    assert (sign, letter) == ("§", "s") and share == scans.MOST_SHARE and not rest
+    assert scans.aligned_signs(counts.limit(0)) == []
+
+
+def test_probabilities_follow_the_collection(spark):
+    """A part that always stands for another becomes a likely confusion, one that is mostly itself an unlikely one."""
+    rows = [("house", 4000), ("h0use", 300), ("mouse", 3000), ("m0use", 200), ("modem", 100), ("modern", 900), ("corn", 800), ("barn", 900), ("کتاب", 900), ("کت1ب", 200), ("x1y", 400)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    first = scans.Channel()
+    made = scans.corrections(counts, first)
+    learned = scans.learned_channel(counts, made, first)
+    share = dict(zip(learned.parts, learned.shares))
+    assert share["0", "o"] > 0.5 and share["rn", "m"] < 0.03 and share["1", "ا"] > 0.5 and share["1", "l"] < 0.1
+    assert {r.word: r.options[0].cand for r in scans.weighed(made, learned).collect()}["h0use"] == "house"
+    again = scans.learned_channel(counts.limit(0), made.limit(0), first)
+    assert again.shares == pytest.approx(first.shares)
 
 
 def test_decode_equals_trying_all_readings():
@@ -107,7 +129,7 @@ def test_decode_equals_trying_all_readings():
     ids = {w: i for i, w in enumerate(vocab)}
     for _ in range(80):
         counts = {w: rnd.randint(1, 50) for w in vocab}
-        pairs = {i * scans.COMMON + j: rnd.randint(0, 20) for i in range(5) for j in range(5)}
+        pairs = {i * scans.BASE + j: rnd.randint(0, 20) for i in range(5) for j in range(5)}
         n = rnd.randint(1, 4)
         words = []
         for p in range(n):
@@ -118,7 +140,7 @@ def test_decode_equals_trying_all_readings():
         def score(x, y, m):
             p = (1 - scans.PAIR_WEIGHT) * max(m, 1) / 1000
             if x in ids and y in ids:
-                p += scans.PAIR_WEIGHT * pairs.get(ids[x] * scans.COMMON + ids[y], 0) / counts[x]
+                p += scans.PAIR_WEIGHT * pairs.get(ids[x] * scans.BASE + ids[y], 0) / counts[x]
             return -math.log(max(p, 1e-12))
 
         def cost(way):
