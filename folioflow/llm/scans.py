@@ -21,7 +21,7 @@ from unicodedata import combining
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.llm.charmodel import code_points, costs_of
 from folioflow.llm.encoding import Repair, is_suspect
@@ -38,13 +38,15 @@ CONFUSIONS = (
 PRIOR_WEIGHT, LEAST_SHARE, MOST_SHARE = 50.0, 0.01, 0.6
 #: A sign between letters that stands for the same letter so often, and in this share of its sightings, is a confusion, too.
 LEAST_SEEN, LEAST_ALIGNED, MOST_ALIGNED = 10, 0.1, 200
+#: Letters that cost more (negative log share of all characters) are not looked for behind such a sign.
+RARE_LETTER = 12.0
 #: Turns of expectation maximisation.
 TURNS = 2
 
-#: Words with at least this share of all words carry the word-pair model: a million at most, however large the collection is.
-COMMON_SHARE = 1e-6
+#: Words with at least this share of all words carry the word-pair model: five million at most, however large the collection is.
+COMMON_SHARE = 2e-7
 #: The first word of a pair in its key.
-BASE = 1 << 20
+BASE = 1 << 23
 #: Longer words are never looked at; shorter ones than the second have one confusion only.
 LONGEST, TWO_CONFUSIONS = 64, 5
 #: Longer lines are no page numbers, and no titles.
@@ -74,6 +76,8 @@ _PAGE = re.compile(
 _NUMBERED = re.compile(rf"^(?:[{_DIGITS}]+\s*[).]|[{_DIGITS}]+\s*[-:]\s*[{_DIGITS}])")
 _PLAIN = re.compile(rf"^[{_DIGITS}]+$")
 _ANSWERS = re.compile(r"^(?:answers?|keys?|solutions?|results?|پاسخ(?:\u200c?ها)?|جواب(?:\u200c?ها)?|ځواب(?:ونه)?|الأ?جوبة|الاجوبة|الإجابات|الحلول|پایلې)\s*:?$", re.IGNORECASE)
+#: One sign between letters, which neither joins words nor stands for lost text.
+_ONE_SIGN = re.compile(r"([^\W\d_]+)([^\w\s'’ʼ.:/?\ufffd-]|\d)([^\W\d_]+)")
 _ARABIC_LETTER, _LATIN_LETTER = re.compile("[\u0620-\u06ff]"), re.compile("[a-z]")
 _LINE_END = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
 _BREAK = re.compile("[^\\W\\d_]([-‐‑¬\u00ad])$")
@@ -328,60 +332,56 @@ def _fits(word: str, true: str) -> bool:
     return not true or bool(_ARABIC_LETTER.search(word)) == bool(_ARABIC_LETTER.match(true))
 
 
-def aligned_signs(counts: DataFrame) -> list[tuple[str, str, float]]:
-    """Confusions found in the collection itself: signs between letters, aligned with known words.
+def corrections(counts: DataFrame, channel: Channel, letters: str = "") -> tuple[DataFrame, list[int], list[tuple[str, str, float]]]:
+    """What may be misread, how often each part of ``channel`` is seen, and confusions that the collection itself shows.
 
-    A word with one sign between its letters meets the known words that have any letter in the sign's place, by what is
-    left of both; the sign's sightings are shared among these by their counts.  Not more than ``MOST_ALIGNED`` come to the driver.
+    The table is ``word, n, all``: each word with the known words it may have been, as ``cand, n, uses`` (confusions by
+    number).  Words with a sign between their letters that no known word explains have unknown candidates (``n`` 0).
+    A word with a single other sign between its letters is aligned with known words that have one of ``letters`` in the
+    sign's place; its sightings are shared among these by their counts.  Not more than ``MOST_ALIGNED`` come to the driver.
     """
-
-    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if not 3 < len(word) <= LONGEST:
-                    continue
-                odd = [i for i, c in enumerate(word) if not (c.isalpha() or combining(c))]
-                if not odd:
-                    rows += [(word[:i] + "\0" + word[i + 1 :], None, word[i], n) for i in range(1, len(word) - 1)]
-                elif len(odd) == 1 and 0 < odd[0] < len(word) - 1 and word[odd[0]] not in " ?\ufffd":
-                    rows.append((word[: odd[0]] + "\0" + word[odd[0] + 1 :], word[odd[0]], None, n))
-            yield _table(rows, ["mask", "sign", "letter", "n"], (pa.string(), pa.string(), pa.string(), pa.int64()))
-
-    made = counts.mapInArrow(masks, "mask string, sign string, letter string, n long")
-    odd = made.where("sign is not null").select("mask", "sign", F.col("n").alias("n_odd"))
-    known = made.where("letter is not null").join(odd.select("mask").distinct(), "mask", "left_semi").groupBy("mask", "letter").agg(F.sum("n").alias("n"))
-    whole = known.groupBy("mask").agg(F.sum("n").alias("whole"))
-    met = odd.join(known, "mask").join(whole, "mask").groupBy("sign", "letter").agg(F.sum(F.col("n_odd") * F.col("n") / F.col("whole")).alias("e"))
-    all_ = odd.groupBy("sign").agg(F.sum("n_odd").alias("seen"))
-    found = met.join(all_, "sign").where((F.col("e") >= LEAST_SEEN) & (F.col("e") / F.col("seen") >= LEAST_ALIGNED))
-    return [(r.sign, r.letter, min(r.e / r.seen, MOST_SHARE)) for r in found.orderBy(F.desc("e"), "sign", "letter").limit(MOST_ALIGNED).collect()]
-
-
-def corrections(counts: DataFrame, channel: Channel) -> DataFrame:
-    """``word, n, inner, cand, n_cand, uses``: words that may be misread, with each known word they may have been and the
-    confusions (numbers of ``channel``) between them.  Words with a sign between their letters have unknown candidates, too."""
+    names = ["word", "n", "inner", "cand", "uses", "sign", "letter"]
+    kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * len(channel.parts)
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if channel.may_be_misread(word) and sum(map(str.isalpha, word)) * 2 >= len(word):
-                    inner = _INNER.search(word) is not None and not _FORMULA.match(word)
-                    rows += [(word, n, inner, made, list(uses)) for made, (_, uses) in channel.candidates(word).items() if _is_word(made)]
-            yield _table(rows, ["word", "n", "inner", "cand", "uses"], (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int32())))
-
-    made = counts.mapInArrow(make, "word string, n long, inner boolean, cand string, uses array<int>")
+                if channel.may_be_misread(word):
+                    for i, (part, true) in enumerate(channel.parts):
+                        if part in word and _fits(word, true):
+                            total[i] += n * len(_at(word, part))
+                    if sum(map(str.isalpha, word)) * 2 >= len(word):
+                        inner = _INNER.search(word) is not None and not _FORMULA.match(word)
+                        rows += [(word, n, inner, made, list(uses), None, None) for made, (_, uses) in channel.candidates(word).items() if _is_word(made)]
+                elif letters and 3 < len(word) <= LONGEST and not word.isalpha() and (m := _ONE_SIGN.fullmatch(word)):
+                    rows += [(word, n, False, m.group(1) + c + m.group(3), None, m.group(2), c) for c in letters if _fits(word, c)]
+            yield _table(rows, names, kinds)
+        yield _table([(None, n, None, None, [i], None, None) for i, n in enumerate(total) if n], names, kinds)
+
+    made = cut(counts.mapInArrow(make, "word string, n long, inner boolean, cand string, uses array<int>, sign string, letter string"))
     known = counts.select(F.col("word").alias("cand"), F.col("n").alias("n_cand"))
-    return made.join(known, "cand", "left").where(F.col("inner") | F.col("n_cand").isNotNull()).fillna(0, "n_cand")
-
-
-def _cost(channel: Channel, uses) -> F.Column:
+    met = made.where("cand is not null").join(known, "cand", "left").where(F.col("inner") | F.col("n_cand").isNotNull()).fillna(0, "n_cand")
+    option = F.when(F.col("uses").isNotNull(), F.struct("cand", F.col("n_cand").alias("n"), "uses"))
+    sign = F.when(F.col("uses").isNull(), F.struct("sign", "letter", F.col("n_cand").alias("n")))
+    grouped = cut(met.groupBy("word", "n").agg(F.collect_list(option).alias("all"), F.collect_list(sign).alias("signs")))
+    seen = {r.i: r.n for r in made.where("word is null").groupBy(F.col("uses")[0].alias("i")).agg(F.sum("n").alias("n")).collect()}
+    whole = F.aggregate("signs", F.lit(0.0), lambda t, x: t + x["n"])
+    aligned = grouped.where("size(signs) > 0").select("n", whole.alias("whole"), F.explode("signs").alias("s"))
+    aligned = aligned.groupBy("s.sign", "s.letter").agg(F.sum(F.col("n") * F.col("s.n") / F.col("whole")).alias("e")).where(F.col("e") >= LEAST_SEEN)
+    all_ = made.where("sign is not null").dropDuplicates(["word"]).groupBy("sign").agg(F.sum("n").alias("seen"))
+    found = aligned.join(all_, "sign").where(F.col("e") / F.col("seen") >= LEAST_ALIGNED).orderBy(F.desc("e"), "sign", "letter").limit(MOST_ALIGNED)
+    new = [(r.sign, r.letter, min(r.e / r.seen, MOST_SHARE)) for r in found.collect()] if letters else []
+    return grouped.where("size(all) > 0").select("word", "n", "all"), [seen.get(i, 0) for i in range(len(channel.parts))], new
+
+
+def _cost(channel: Channel, uses: Column) -> Column:
     table = F.array(*[F.lit(c) for c in channel.costs])
-    return F.aggregate(uses, F.lit(0.0), lambda total, i: total + F.element_at(table, i + 1))
+    return F.aggregate(uses, F.lit(0.0), lambda total, i: total + F.get(table, i))
 
 
-def learned_channel(counts: DataFrame, made: DataFrame, channel: Channel) -> Channel:
+def learned_channel(made: DataFrame, seen: list[int], channel: Channel, prior: Channel) -> Channel:
     """The channel after one turn of expectation maximisation.
 
     A word's sightings are shared between itself, by how often it occurs beside one of them, and its known candidates, by
@@ -389,27 +389,13 @@ def learned_channel(counts: DataFrame, made: DataFrame, channel: Channel) -> Cha
     by all sightings of the part in words of that script that may be misread, and smoothed by the prior, this is the new
     probability.
     """
-    weight = F.col("n_cand") * F.exp(-_cost(channel, F.col("uses")))
-    shares = made.where("n_cand > 0").withColumn("w", weight)
-    per_word = shares.groupBy("word", "n").agg(F.sum("w").alias("all"))
-    own = F.greatest(F.col("n") - 1, F.lit(0.5))
-    used = shares.join(per_word, ["word", "n"]).select(F.explode("uses").alias("i"), (F.col("n") * F.col("w") / (F.col("all") + own)).alias("e"))
+    weight = F.transform("all", lambda o: F.struct(o["uses"].alias("uses"), (o["n"] * F.exp(-_cost(channel, o["uses"]))).alias("w")))
+    shares = made.select("n", weight.alias("ways")).withColumn("whole", F.aggregate("ways", F.greatest(F.col("n") - 1, F.lit(0.5)), lambda t, x: t + x["w"]))
+    used = shares.select("n", "whole", F.explode("ways").alias("x")).select(F.explode("x.uses").alias("i"), (F.col("n") * F.col("x.w") / F.col("whole")).alias("e"))
     expected = {r.i: r.e for r in used.groupBy("i").agg(F.sum("e").alias("e")).collect()}
-
-    def sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [0] * len(channel.parts)
-        for batch in batches:
-            for word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if channel.may_be_misread(word):
-                    for i, (part, true) in enumerate(channel.parts):
-                        if part in word and _fits(word, true):
-                            total[i] += n * len(_at(word, part))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], names=["i", "n"])
-
-    seen = {r.i: r.n for r in counts.mapInArrow(sightings, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     new = []
-    for i, ((part, true), share) in enumerate(zip(channel.parts, channel.shares)):
-        share = (expected.get(i, 0.0) + PRIOR_WEIGHT * share) / (seen.get(i, 0) + PRIOR_WEIGHT)
+    for i, ((part, true), share) in enumerate(zip(prior.parts, prior.shares)):
+        share = (expected.get(i, 0.0) + PRIOR_WEIGHT * share) / (seen[i] + PRIOR_WEIGHT)
         new.append((part, true, min(max(share, LEAST_SHARE), MOST_SHARE)))
     return Channel(new)
 
@@ -419,12 +405,10 @@ def weighed(made: DataFrame, channel: Channel) -> DataFrame:
 
     Without any it has the best of those that no text has, as these differ by nothing but their cost.
     """
-    cost = _cost(channel, F.col("uses"))
-    option = F.struct((F.col("cost") - F.log(F.col("n_cand") + 0.1)).alias("rank"), "cand", F.col("n_cand").alias("n"), "cost")
-    ranked = made.withColumn("cost", cost).groupBy("word", "n").agg(F.array_sort(F.collect_list(option)).alias("all"))
-    known = F.filter("all", lambda o: o["n"] > 0)
-    options = F.when(F.size(known) > 0, known).otherwise(F.slice("all", 1, 1))
-    return ranked.select("word", "n", options.alias("options"))
+    option = F.transform("all", lambda o: F.struct(_cost(channel, o["uses"]).alias("cost"), o["cand"].alias("cand"), o["n"].alias("n")))
+    option = F.array_sort(F.transform(option, lambda o: F.struct((o["cost"] - F.log(o["n"] + 0.1)).alias("rank"), o["cand"].alias("cand"), o["n"].alias("n"), o["cost"].alias("cost"))))
+    known = F.filter(option, lambda o: o["n"] > 0)
+    return made.select("word", "n", F.when(F.size(known) > 0, known).otherwise(F.slice(option, 1, 1)).alias("options"))
 
 
 def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int, channel: Channel) -> DataFrame:
@@ -557,7 +541,7 @@ def scan_defects(corpus: DataFrame, toc: DataFrame) -> DataFrame:
 
     ``defect``: hyphen (the broken word's halves in ``seen``, the word in ``meant``), misread, header or pageno.  Null and
     blank texts have none.  All counts are over all records, garbled ones as they were before; what comes to the driver is
-    the character table, the channel and the words with a share of ``COMMON_SHARE`` or more, a million at most.  Joins are
+    the character table, the channel and the words with a share of ``COMMON_SHARE`` or more, five million at most.  Joins are
     by word, by word pair and by title, so no task holds a record group.
     """
     return _scan(corpus, toc)[0]
@@ -572,12 +556,16 @@ def _scan(corpus: DataFrame, toc: DataFrame) -> tuple[DataFrame, dict[str, float
     counts = found.unionByName(word_counts(mended, raw=False)).where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     total = counts.agg(F.sum("n")).first()[0] or 1
-    known = {c[:2] for c in CONFUSIONS}
-    channel = Channel([*CONFUSIONS, *(c for c in aligned_signs(counts) if c[:2] not in known)])
-    made = cut(corrections(counts, channel))
+    letters = "".join(sorted(c for c, cost in costs.items() if c.isalpha() and c == c.lower() and cost < RARE_LETTER and (_ARABIC_LETTER.match(c) or _LATIN_LETTER.match(c))))
+    prior = Channel()
+    made, seen, aligned = corrections(counts, prior, letters)
+    if aligned:  # confusions that the prior lacks: candidates are made with these, too
+        prior = Channel([*CONFUSIONS, *aligned])
+        made, seen, _ = corrections(counts, prior)
+    channel = prior
     for _ in range(TURNS):
-        channel = learned_channel(counts, made, channel)
-    fixes = cut(weighed(made, channel))
+        channel = learned_channel(made, seen, channel, prior)
+    fixes = weighed(made, channel)
     doubt = fixes.select("word", F.lit(True).alias("doubt"))
     usual = counts.where(F.col("n") >= total * COMMON_SHARE).join(doubt, "word", "left").toPandas()
     usual = usual.assign(doubt=usual["doubt"].notna()).sort_values(["doubt", "n", "word"], ascending=[True, False, True])

@@ -104,9 +104,9 @@ def test_candidates_undo_confusions():
 def test_signs_are_aligned_with_known_words(spark):
     rows = [("house", 90), ("mouse", 40), ("horse", 30), ("sour", 5), ("hou§e", 8), ("mou§e", 7), ("ho§se", 2), ("mo\ufffdse", 90), ("a-b", 4), ("x" * 500, 2), ("", 1)]
     counts = spark.createDataFrame(rows, "word string, n long")
-    (sign, letter, share), *rest = scans.aligned_signs(counts)
+    (sign, letter, share), *rest = scans.corrections(counts, scans.Channel(), "abcdefghijklmnopqrstuvwxyzاب")[2]
     assert (sign, letter) == ("§", "s") and share == scans.MOST_SHARE and not rest
-    assert scans.aligned_signs(counts.limit(0)) == []
+    assert scans.corrections(counts.limit(0), scans.Channel(), "ab")[2] == []
 
 
 def test_probabilities_follow_the_collection(spark):
@@ -114,13 +114,13 @@ def test_probabilities_follow_the_collection(spark):
     rows = [("house", 4000), ("h0use", 300), ("mouse", 3000), ("m0use", 200), ("modem", 100), ("modern", 900), ("corn", 800), ("barn", 900), ("کتاب", 900), ("کت1ب", 200), ("x1y", 400)]
     counts = spark.createDataFrame(rows, "word string, n long")
     first = scans.Channel()
-    made = scans.corrections(counts, first)
-    learned = scans.learned_channel(counts, made, first)
+    made, seen, _ = scans.corrections(counts, first)
+    learned = scans.learned_channel(made, seen, first, first)
     share = dict(zip(learned.parts, learned.shares))
     assert share["0", "o"] > 0.5 and share["rn", "m"] < 0.03 and share["1", "ا"] > 0.5 and share["1", "l"] < 0.1
     assert {r.word: r.options[0].cand for r in scans.weighed(made, learned).collect()}["h0use"] == "house"
-    again = scans.learned_channel(counts.limit(0), made.limit(0), first)
-    assert again.shares == pytest.approx(first.shares)
+    nothing, seen, _ = scans.corrections(counts.limit(0), first)
+    assert scans.learned_channel(nothing, seen, first, first).shares == pytest.approx(first.shares)
 
 
 def test_decode_equals_trying_all_readings():
