@@ -21,7 +21,7 @@ from unicodedata import combining
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioflow.llm.charmodel import code_points, costs_of
 from folioflow.llm.encoding import Repair, is_suspect
@@ -229,8 +229,21 @@ def stray_lines(lines: list[str], paged: list[bool]) -> list[bool]:
     return out
 
 
+class _TitleWords(dict):
+    """Word of a title in lower case -> its compatible form; kept while there are not too many."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        self[word] = form = word if word.isascii() else compatible(word).lower().strip()
+        return form
+
+
+_TITLE_WORDS = _TitleWords()
+
+
 def title_form(title: str) -> str:
-    return " ".join((title if title.isascii() else compatible(title)).lower().split()).strip(" .:;*|—–-")
+    return " ".join(filter(None, map(_TITLE_WORDS.__getitem__, title.lower().split()))).strip(" .:;*|—–-")
 
 
 def _at(word: str, part: str) -> list[int]:
@@ -574,12 +587,14 @@ def _scan(corpus: DataFrame, toc: DataFrame) -> tuple[DataFrame, dict[str, float
     marks = cut(_marks(corpus, mended, common, sure, channel))
     shared = spark.sparkContext.broadcast((common_n, total))
 
-    doubtful = marks.where("kind = 'W'").select("ord", "line", "pos", "a", "b", "c", "key").join(fixes.withColumnRenamed("word", "a"), "a")
-    # pairs of doubtful words that are not common are counted from the words' own rows
-    rare = doubtful.where("key is null")
-    rare = rare.join(rare.groupBy("a", "b").agg(F.count("*").alias("left")), ["a", "b"]).join(rare.groupBy("a", "c").agg(F.count("*").alias("right")), ["a", "c"])
-    doubtful = rare.unionByName(doubtful.where("key is not null"), allowMissingColumns=True)
+    doubtful = marks.where("kind = 'W'").select("ord", "line", "pos", "a", "b", "c", "key")
+    fixes = fixes.withColumnRenamed("word", "a")
+    # pairs of doubtful words that are not common, so few, are counted from the words' own rows
+    count = lambda *by: F.count("*").over(W.partitionBy(*by))
+    rare = doubtful.where("key is null").join(fixes, "a").withColumns({"left": count("a", "b"), "right": count("a", "c")})
+    doubtful = rare.unionByName(doubtful.where("key is not null").join(fixes, "a"), allowMissingColumns=True)
     grouped = doubtful.groupBy("ord", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b", "c", "n", "options", "left", "right"))).alias("words"))
+    grouped = cut(grouped)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {w: i for i, w in enumerate(shared.value[0])}
