@@ -39,7 +39,7 @@ def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.token_budget(t(spark, sf, "corpus"))
+    return tokens.token_budget(tokens.token_counts(t(spark, sf, "corpus")))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,6 +29,7 @@ LOST = "�"
 STEP = 3.0
 #: Single-byte text has no inner check as UTF-8 has: a stretch needs so many letters, and most must come out Arabic.
 LEAST_LETTERS = 3
+#: Operations one after the other, and states, at most: a search that ends at these is reported as not finished.
 DEPTH = 4
 STATES = 80
 #: The cost of a character that the collection lacks.
@@ -117,6 +118,7 @@ class Repair:
     def __init__(self, costs: dict[str, float]):
         self.costs = _Costs(costs)
         self.memo: dict[tuple[str, str], str] = {}
+        self.finished = True
 
     def cost(self, text: str) -> float:
         return sum(map(self.costs.__getitem__, text))
@@ -170,7 +172,9 @@ class Repair:
             yield "unescape", new
 
     def search(self, text: str) -> tuple[str, list[str]]:
-        """The cheapest text that is reached, and the operations that lead to it; a text without suspects ends the search."""
+        """The cheapest text that is reached, and the operations that lead to it; a text without suspects ends the search.
+        ``finished`` tells of the last search whether nothing was left to try."""
+        self.finished = True
         first = self.cost(text)
         best, best_cost = (text, []), first
         seen, turn = {hash(text)}, 0
@@ -182,6 +186,7 @@ class Repair:
             if path and not is_suspect(state):
                 break
             if len(path) >= DEPTH:
+                self.finished &= next(self.moves(state), None) is None
                 continue
             for name, new in self.moves(state):
                 if (h := hash(new)) in seen:
@@ -191,6 +196,8 @@ class Repair:
                 price = self.cost(new) + STEP * (len(path) + 1)
                 if price < cost:  # an operation must pay for itself
                     heapq.heappush(queue, (price, turn, new, [*path, name]))
+        else:
+            self.finished &= not queue
         return best
 
     def judge(self, text: str) -> tuple[str, str, str]:
@@ -214,10 +221,11 @@ def mostly_lost(text: str) -> bool:
 
 
 def repair_texts(corpus: DataFrame, costs: dict[str, float] | None = None) -> DataFrame:
-    """``ord, status, text, operations``: every record, garbled ones with their text restored.
+    """``ord, status, text, operations, finished``: every record, garbled ones with their text restored.
 
     ``status`` is clean, restored, partly (restored but for characters marked U+FFFD or question marks), lost (nothing
-    could be restored), or null for a null text; a blank text is clean.  Costs are those of all texts unless given.  One
+    could be restored), or null for a null text; a blank text is clean.  ``finished`` is false where the search was cut by ``DEPTH``
+    or ``STATES``.  Costs are those of all texts unless given.  One
     row a record comes out, in Arrow batches, without a shuffle; texts without a suspect sign never reach the search.
     """
     if costs is None:
@@ -228,18 +236,21 @@ def repair_texts(corpus: DataFrame, costs: dict[str, float] | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repair = Repair(shared.value)
         for batch in batches:
-            texts, status, steps = batch.column(1).to_pylist(), [], []
+            texts, status, steps, ended = batch.column(1).to_pylist(), [], [], []
             for i, text in enumerate(texts):
-                found = (None, None, "") if text is None else repair.judge(text) if is_suspect(text) else ("clean", text, "")
+                searched = text is not None and is_suspect(text)
+                found = (None, None, "") if text is None else repair.judge(text) if searched else ("clean", text, "")
+                ended.append(not searched or repair.finished)
                 status.append(found[0])
                 texts[i] = found[1]
                 steps.append(found[2])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(status, pa.string()), pa.array(texts, pa.string()), pa.array(steps, pa.string())], names=["ord", "status", "text", "operations"]
+                [batch.column(0), pa.array(status, pa.string()), pa.array(texts, pa.string()), pa.array(steps, pa.string()), pa.array(ended, pa.bool_())],
+                names=["ord", "status", "text", "operations", "finished"],
             )
 
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"ord {kind}, status string, text string, operations string")
+    return source.mapInArrow(run, f"ord {kind}, status string, text string, operations string, finished boolean")
 
 
 def garbled_records(corpus: DataFrame, costs: dict[str, float] | None = None) -> DataFrame:

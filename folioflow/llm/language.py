@@ -1,7 +1,7 @@
 """Problem 2: the language of each record and of each stretch of it, by a linear-chain conditional random field.
 
 Every word of a text has a label.  Its emission scores are sums of learned weights of hashed features (the word itself,
-its beginnings and endings, its letter pairs and triples, its script); transitions between neighbouring words are learned
+its beginnings and endings, its letter pairs and triples, its script, its entry in a lexicon of the fit); transitions between neighbouring words are learned
 too; forward-backward gives each word's label probabilities.  Sentences take the language of most of their letters.
 """
 
@@ -23,6 +23,13 @@ LANGUAGES = ("ps", "fa", "ar", "en")
 #: The field is fitted on about this many labelled records, taken by a hash of their ordinal.
 SAMPLE_ROWS = 2500
 FEATURES = 1 << 16
+#: Features of a word at most: of words of over about 40 letters the last letter groups are left out.
+WORD_FEATURES = 80
+#: A word is in the lexicon if it occurs so often in the half of the fit sample that the lexicon is made from; it has the
+#: languages with these shares of its occurrences.
+LEXICON_COUNT, LEXICON_SHARES = 2, (0.95, 0.6, 0.3)
+#: The fit ends after so many turns, or when a turn makes the labels of the sample less than this more probable.
+TURNS, LEAST_GAIN = 40, 2e-4
 MAX_WORDS = 300_000
 #: What is shorter goes with the sentence before it (or after, at the beginning).
 LEAST_WORDS, LEAST_LETTERS = 2, 6
@@ -45,29 +52,50 @@ def readable_sentences(text: str) -> list[str]:
     return [s for s in split_sentences(text) if not mostly_lost(s)]
 
 
-def features(word: str) -> list[int]:
+Lexicon = dict[str, tuple[str, ...]]
+
+
+def features(word: str, lexicon: Lexicon) -> list[int]:
     """Hashed features of a word in compatible form and lower case (so without joiners)."""
     w = compatible(word).lower() or word
     script = "a" if "\u0600" <= w[0] <= "ۿ" else "l" if w[0] < "԰" else "o"
-    parts = [f"s{script}", f"w{w}"]
+    parts = [f"s{script}", f"w{w}", *lexicon.get(w, ("x",))]
     for n in (1, 2, 3):
         parts += [f"p{w[:n]}", f"e{w[-n:]}"]
     for n in (2, 3):
         parts += [f"g{w[i : i + n]}" for i in range(len(w) - n + 1)]
-    return [zlib.crc32(p.encode("utf-8", "replace")) % FEATURES for p in parts[:80]]
+    return [zlib.crc32(p.encode("utf-8", "replace")) % FEATURES for p in parts[:WORD_FEATURES]]
+
+
+def make_lexicon(sentences: list[list[str]], langs: list[int]) -> Lexicon:
+    """Word -> its lexicon features: which language has how large a share of its occurrences."""
+    counts: dict[str, np.ndarray] = {}
+    for words, lang in zip(sentences, langs):
+        for word in words:
+            w = compatible(word).lower() or word
+            if w not in counts:
+                counts[w] = np.zeros(len(LANGUAGES))
+            counts[w][lang] += 1
+    out = {}
+    for w, n in counts.items():
+        if (total := n.sum()) >= LEXICON_COUNT:
+            level = [next((k for k, least in enumerate(LEXICON_SHARES) if x >= least * total), None) for x in n]
+            out[w] = tuple(f"l{k}{lang}" for k, lang in zip(level, LANGUAGES) if k is not None)
+    return out
 
 
 class Words(dict):
     """Word -> row of the emission table; made when first seen."""
 
-    def __init__(self):
+    def __init__(self, lexicon: Lexicon | None = None):
         super().__init__()
+        self.lexicon = lexicon or {}
         self.rows: list[list[int]] = []
         self.letters: list[int] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = found = len(self.rows)
-        self.rows.append(features(word))
+        self.rows.append(features(word, self.lexicon))
         self.letters.append(sum(map(str.isalpha, word)))
         return found
 
@@ -128,6 +156,7 @@ class Field:
 
     def __init__(self):
         k = len(LANGUAGES)
+        self.lexicon: Lexicon = {}
         self.weights = np.zeros((FEATURES, k), np.float64)
         self.trans = np.zeros((k, k))
         self.start = np.zeros(k)
@@ -140,7 +169,7 @@ class Field:
         at = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
         return np.add.reduceat(self.weights[flat], at, axis=0)
 
-    def fit(self, words: Words, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int, rate: float = 0.1, decay: float = 1e-4) -> None:
+    def fit(self, words: Words, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = TURNS, rate: float = 0.1, decay: float = 1e-4) -> None:
         """Gradient ascent (Adam) on the log likelihood of the label sequences."""
         k = len(LANGUAGES)
         flat = np.concatenate([np.asarray(r, np.int64) for r in words.rows])
@@ -154,13 +183,16 @@ class Field:
         total = sum(int(b[1].sum()) for b in blocks)
         params = [self.weights, self.trans, self.start]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        before = 0.0
         for turn in range(1, rounds + 1):
-            table = self.emissions(words)
+            table, sure = self.emissions(words), 0.0
             seen, g_trans, g_start = np.zeros_like(table), np.zeros((k, k)), np.zeros(k)
             for block, lengths, gold in blocks:
                 prob, moved, _, inside = forward_backward(table[block], lengths, self.start, self.trans, True)
                 diff = -prob
-                diff[np.arange(len(block))[:, None], np.arange(block.shape[1])[None], gold] += 1
+                at = (np.arange(len(block))[:, None], np.arange(block.shape[1])[None], gold)
+                sure += float(prob[at][inside].sum())
+                diff[at] += 1
                 for c in range(k):
                     seen[:, c] += np.bincount(block[inside], diff[:, :, c][inside], minlength=len(table))
                 g_start += diff[:, 0].sum(0)
@@ -172,6 +204,9 @@ class Field:
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.99 * second[i] + 0.01 * g * g
                 p += rate * (first[i] / (1 - 0.9**turn)) / (np.sqrt(second[i] / (1 - 0.99**turn)) + 1e-8)
+            if turn > 5 and abs(sure / total - before) < LEAST_GAIN:
+                break
+            before = sure / total
 
     def probabilities(self, table: np.ndarray, sequences: list[np.ndarray]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros((0, len(LANGUAGES)))] * len(sequences)
@@ -212,9 +247,11 @@ def word_scores(words: Words, sentences: list[np.ndarray], labels: np.ndarray, r
 def train(rows: list[tuple[str, str]], seed: int = 5) -> Field:
     """Fit on (text, label) of a sample.  Labels are partly wrong and texts partly mixed.  So words are first scored one by
     one, each sentence takes the language that all its words together speak for, and the field is fitted on sequences of
-    such sentences, some of one language and some of several."""
+    such sentences, some of one language and some of several.  The lexicon is made from every other sentence, so that the
+    other features are learned from words that it lacks."""
     words, field = Words(), Field()
-    texts = [[s for s in (np.array([words[w] for w in WORD.findall(x)], np.int64) for x in split_sentences(text)) if len(s)] for text, _ in rows]
+    found = [[s for s in map(WORD.findall, split_sentences(text)) if s] for text, _ in rows]
+    texts = [[np.array([words[w] for w in s], np.int64) for s in own] for own in found]
     sentences = [x for s in texts for x in s]
     if not sentences:
         return field
@@ -222,6 +259,10 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Field:
     for _ in range(2):
         scores = np.maximum(word_scores(words, sentences, langs), -6)
         langs = np.array([scores[x].sum(0).argmax() for x in sentences])
+    written = [s for own in found for s in own]
+    field.lexicon = make_lexicon(written[::2], langs[::2].tolist())
+    words = Words(field.lexicon)
+    sentences = [np.array([words[w] for w in s], np.int64) for s in written]
     rng = np.random.default_rng(seed)
     mixed, gold, at = [], [], 0
     order = np.argsort(langs + rng.random(len(langs)) * np.where(rng.random(len(langs)) < 0.3, 8, 0), kind="stable")
@@ -230,7 +271,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Field:
         mixed.append(np.concatenate([sentences[i] for i in part]))
         gold.append(np.concatenate([np.full(len(sentences[i]), langs[i]) for i in part]))
         at += len(part)
-    field.fit(words, mixed, gold, 40)
+    field.fit(words, mixed, gold)
     return field
 
 
@@ -238,7 +279,7 @@ class Labeller:
     """Languages of texts in batches, for one worker."""
 
     def __init__(self, field: Field, costs: dict[str, float]):
-        self.field, self.words = field, Words()
+        self.field, self.words = field, Words(field.lexicon)
         self.table = np.zeros((0, len(LANGUAGES)))
         self.repair = Repair(costs)
 
@@ -247,7 +288,7 @@ class Labeller:
         are several.  A text without a letter has none.  Garbled text is judged as it was before, as far as it can be:
         sentences that are mostly lost are left out, all others count."""
         if len(self.words.rows) > MAX_WORDS:
-            self.words, self.table = Words(), self.table[:0]
+            self.words, self.table = Words(self.field.lexicon), self.table[:0]
         sequences, sizes = [], []
         for text in texts:
             own, size = [], []
@@ -297,12 +338,14 @@ class Labeller:
 
 
 def fit_field(corpus: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """Fit on a bounded sample of records whose label is one of the languages."""
+    """Fit on a bounded sample of records whose label is one of the languages: those with the least hashes of their ordinal,
+    whatever the partitioning."""
     labelled = corpus.select("ord", "text", plain_label(F.col("metadata.language")).alias("label")).where(F.col("label").isin(*LANGUAGES) & (F.length("text") > 0))
     total = corpus.count()
-    share = min(1.0, 1.3 * sample_rows / max(total, 1))
-    part = labelled.where(F.abs(F.xxhash64("ord", F.lit(23)) % F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
-    return train([(r.text, r.label) for r in part.select("text", "label").limit(sample_rows).collect()])
+    share = min(1.0, 2 * sample_rows / max(total, 1))
+    order = F.xxhash64("ord", F.lit(23))
+    part = labelled.where(F.pmod(order, F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).withColumn("h", order)
+    return train([(r.text, r.label) for r in part.orderBy("h", "ord", "text").limit(sample_rows).select("text", "label").collect()])
 
 
 def language_segments(corpus: DataFrame, field: Field | None = None, costs: dict[str, float] | None = None) -> DataFrame:

@@ -150,7 +150,7 @@ def mix_sources(
     at_edge = at_edge.where("upto - n_tokens / 2 <= rest").select("source", "doc_id", "epochs", "n_tokens")
     partial = inside.unionByName(at_edge).select("source", "doc_id", (F.col("epochs") + 1).alias("copy_no"), "n_tokens")
     full = ranked.where("epochs > 0").select("source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("epochs"))).alias("copy_no"), "n_tokens")
-    mixed = full.unionByName(partial)
+    mixed = cut(full.unionByName(partial))  # read for the shares and for the rows
 
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("copy_no").alias("max_copies"))
     shares = plan.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))

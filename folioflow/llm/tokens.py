@@ -76,13 +76,16 @@ LABELS = ("source_id", "language", "subject", "subject_category")
 
 
 def token_counts(corpus: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """``ord, source_id, language, subject, subject_category, n_tokens`` of each corpus record; a null text has null tokens."""
-    keep = {"ord": F.col("ord")} | {c: F.col(f"metadata.{c}") for c in LABELS}
+    """``ord, source_id, language, subject, subject_category, no_text, n_tokens`` of each corpus record.
+
+    ``no_text``: the text is null or blank; a null text has null tokens, a blank one those of its blanks.
+    """
+    keep = {"ord": F.col("ord")} | {c: F.col(f"metadata.{c}") for c in LABELS} | {"no_text": F.length(F.trim(F.coalesce("text", F.lit("")))) == 0}
     return with_token_counts(corpus, keep, F.col("text"), tokenizer, folder)
 
 
-def token_budget(corpus: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """Token totals over the cube of source, language, subject and category.
+def token_budget(counts: DataFrame) -> DataFrame:
+    """Token totals over the cube of source, language, subject and category, from the exact counts of ``token_counts``.
 
     ``level`` names the labels that a row is grouped by (``total`` for none); the labels not in it are null.  A label
     that a record lacks (null, or blank after trimming) is counted under ``(none)`` so that each level adds up to the
@@ -90,8 +93,8 @@ def token_budget(corpus: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str
     Records are summed by all four labels first, map side, so the cube expands groups and not records.
     An empty table gives the one row of the total, with zeros.
     """
-    label = {c: F.coalesce(F.nullif(F.trim(F.col(f"metadata.{c}")), F.lit("")), F.lit("(none)")) for c in LABELS}
-    counted = with_token_counts(corpus, label | {"no_text": (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).cast("long")}, F.col("text"), tokenizer, folder)
+    label = [F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("(none)")).alias(c) for c in LABELS]
+    counted = counts.select(*label, F.col("no_text").cast("long").alias("no_text"), "n_tokens")
     leaves = counted.groupBy(*LABELS).agg(F.count("*").alias("r"), F.sum("no_text").alias("b"), F.sum(F.coalesce("n_tokens", F.lit(0)).cast("long")).alias("t"))
     cube = leaves.cube(*LABELS).agg(
         F.grouping_id().alias("_gid"),

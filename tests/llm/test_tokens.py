@@ -58,13 +58,13 @@ def test_token_budget_against_plain_sums(spark, sf):
     corpus = spark.read.parquet(f"{sf}/corpus.parquet")
     count = encoder().count
     rows = corpus.collect()
-    total = [r for r in tokens.token_budget(corpus).collect()]
+    total = [r for r in tokens.token_budget(tokens.token_counts(corpus)).collect()]
     top = [r for r in total if r.level == "total"][0]
     assert (top.records, top.tokens) == (len(rows), sum(count(r.text or "") for r in rows))
     assert top.no_text == sum(not (r.text or "").strip(" ") for r in rows)
     for level in {r.level for r in total}:
         assert sum(r.tokens for r in total if r.level == level) == top.tokens
-    empty = tokens.token_budget(corpus.limit(0)).collect()
+    empty = tokens.token_budget(tokens.token_counts(corpus.limit(0))).collect()
     assert [(r.level, r.records, r.tokens) for r in empty] in ([("total", 0, 0)], [])
 
 
