@@ -99,6 +99,52 @@ def positive_int(text: Column) -> Column:
     return F.when(n > 0, n)
 
 
+def non_negative_int(text: Column) -> Column:
+    """A whole number of 0 or more in any digits, else null."""
+    n = ascii_digits(F.trim(text.cast("string"))).try_cast("int")
+    return F.when(n >= 0, n)
+
+
+def any_int(text: Column) -> Column:
+    return ascii_digits(F.trim(text.cast("string"))).try_cast("int")
+
+
+def finite_number(text: Column, positive: bool = False) -> Column:
+    """A finite number, with ``positive`` above 0, else null."""
+    n = ascii_digits(F.trim(text.cast("string"))).try_cast("double")
+    good = ~F.isnan(n) & (F.abs(n) < float("inf"))
+    return F.when(good & (n > 0) if positive else good, n)
+
+
+def distinct_ignoring_case(values: Column) -> Column:
+    """Strings of an array without blanks around them, the first spelling of each, in order; nulls and blanks vanish."""
+    kept = F.filter(F.transform(values, lambda v: collapse(v)), lambda v: v != "")
+    low = F.transform(kept, F.lower)
+    return F.filter(kept, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
+def fence_stripped(text: Column) -> Column:
+    """JSON out of a code fence, if it is in one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+
+
+#: Signs of formulas.
+EQUATION_SIGNS = r"[=+\-*/^%()\[\]{}<>≤≥≈×÷√∑πµ°]"
+
+
+def has_formula(text: Column) -> Column:
+    """Two signs of formulas, or one and a figure."""
+    n = F.regexp_count(text, F.lit(EQUATION_SIGNS))
+    return (n >= 2) | ((n >= 1) & text.rlike(r"\p{Nd}"))
+
+
+def formula_damaged(text: Column) -> Column:
+    """Whether formulas look damaged: a word of 35 signs or more, scripts without a blank, or signs without figures or blanks."""
+    n = F.regexp_count(text, F.lit(EQUATION_SIGNS))
+    mixed = text.rlike("[A-Za-z]") & text.rlike("[\u0600-ۿ]") & ~F.contains(F.substring(text, 1, 80), F.lit(" "))
+    return text.rlike(rf"[^{BLANKS}]{{35,}}") | mixed | ((n >= 6) & ~F.contains(text, F.lit(" "))) | ((n >= 3) & ~text.rlike(r"\p{Nd}"))
+
+
 def grade_band(value: Column) -> Column:
     """``10`` of ``10``, ``g10``, ``grade_10``, ``grade-10`` or ``Grade 10``; null for anything else."""
     return F.nullif(F.regexp_extract(F.lower(F.trim(value)), r"^(?:grade[_\- ])?g?(\d+)$", 1), F.lit(""))
@@ -130,7 +176,7 @@ def overlap_tokens(text: Column) -> Column:
 #: Words for chapter numbers in Dari, Pashto and Arabic.
 CHAPTER_WORDS = {
     "اول": "1", "نخست": "1", "یکم": "1", "دوم": "2", "دوهم": "2", "ثانی": "2", "سوم": "3", "درېم": "3", "چهارم": "4", "څلورم": "4",
-    "پنجم": "5", "ششم": "6", "هفتم": "7", "هشتم": "8", "نهم": "9", "دهم": "10",
+    "پنجم": "5", "ششم": "6", "هفتم": "7", "هشتم": "8", "نهم": "9", "دهم": "10", "لسم": "10", "یازدهم": "11", "دوازدهم": "12",
 }
 CHAPTER_PREFIX = "chapter|chap|lesson|unit|فصل|باب|بخش|درس"
 

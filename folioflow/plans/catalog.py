@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Window as W, functions as F
 
 from folioflow.functions import text as T
+from folioflow.plans.registry import QUERIES, SQL, query  # noqa: F401
 from folioflow.operators import audit, chunking, history, metrics, retrieval, search, toc as tocs
 from folioflow.session import read_table as t
 from folioflow.sources import jsonl
 from folioflow.streaming import messages as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 #: White space, and what text normalisation keeps, for the regular expressions of SQL.
 _WS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-def query(sql: str | None = None):
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
 # text ---------------------------------------------------------------------------------------------------------------
 
 
@@ -607,3 +593,7 @@ def stream_event_windows(spark, sf):
     """Events of a type by the hour on the stream: windows that the watermark has passed."""
     s = streams.file_stream(spark, f"{sf}/events.parquet", "ts")
     return streams.run_to_end(streams.windowed_counts(s, "ts", "event_type", "1 hour", "10 minutes"))
+
+
+# the queries of the other modules of this folder register themselves
+from folioflow.plans import answers, books  # noqa: E402, F401
