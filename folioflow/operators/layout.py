@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from folioflow.functions import text as T
 
@@ -36,7 +37,7 @@ def line_numbers(y: np.ndarray, tolerance: float) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _line_numbers(middles: pd.Series, tolerance: pd.Series) -> pd.Series:
     """One array a page, many pages a batch."""
     return pd.Series([line_numbers(np.asarray(y, float), t).astype(np.int32) for y, t in zip(middles, tolerance)])

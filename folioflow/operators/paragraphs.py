@@ -126,11 +126,12 @@ def page_record(pages: DataFrame, source_id: str, page: int) -> DataFrame:
 
 
 def numbered_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line_no, word_no, word, at``: words with the place at which they begin in their line."""
+    """``key, line_no, word_no, word, line_words, rtl``: words of the lines that have any, and whether the line is mostly Arabic."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|[\n\r]")).alias("line_no", "line")).withColumn("line", T.collapse(F.col("line"))).where("line <> ''")
-    words = lines.withColumn("ws", F.split("line", " "))
-    at = F.transform("ws", lambda w, i: F.aggregate(F.slice("ws", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x) + 1))
-    return words.select(key, "line_no", "line", F.posexplode(F.arrays_zip(F.col("ws").alias("word"), at.alias("at"))).alias("word_no", "x")).select(key, "line_no", "word_no", "line", "x.word", "x.at")
+    arabic = F.regexp_count("line", F.lit(T.ARABIC))
+    ws = F.split("line", " ")
+    rows = lines.select(key, "line_no", ws.alias("ws"), ((arabic >= 2) & (arabic >= F.regexp_count("line", F.lit("[A-Za-z]")))).alias("rtl"))
+    return rows.select(key, "line_no", "rtl", F.size("ws").alias("line_words"), F.posexplode("ws").alias("word_no", "word"))
 
 
 def first_by(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

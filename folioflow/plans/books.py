@@ -319,13 +319,11 @@ def file_metadata(spark, sf):
 
 
 def _boxes(spark, sf) -> DataFrame:
-    """Words of the records' lines as boxes: six units a character, from the right on lines that are mostly Arabic."""
+    """Words of the records' lines as boxes of 50 units in steps of 60, from the right on lines that are mostly Arabic."""
     w = P.numbered_words(t(spark, sf, "corpus"), "ord", "text")
-    arabic = F.regexp_count("line", F.lit(T.ARABIC))
-    rtl = (arabic >= 2) & (arabic >= F.regexp_count("line", F.lit("[A-Za-z]")))
-    left, right = F.col("at") * 6.0, (F.col("at") + F.length("word")) * 6.0
+    x = F.when(F.col("rtl"), F.col("line_words") - 1 - F.col("word_no")).otherwise(F.col("word_no")) * 60.0
     y = F.col("line_no") * 14.0 + (F.col("word_no") % 3) * 0.5
-    return w.select("ord", "word", F.when(rtl, -right).otherwise(left).alias("x0"), y.alias("y0"), F.when(rtl, -left).otherwise(right).alias("x1"), (y + 10).alias("y1"))
+    return w.select("ord", "word", x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 10).alias("y1"))
 
 
 @query(rf"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from folioflow.session import ensure_checkpoint_dir
 
 
+#: A citation mark with the blanks before it, and what may be the begin of one.
+_MARK = re.compile(r"[ \t]*\[[Ss]\d[^\]]{0,125}\]")
+_OPEN = re.compile(r"\[(?:[Ss](?:\d[^\]]*)?)?")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -80,3 +86,44 @@ def conversation_sizes(stream: DataFrame, turns: int = 6) -> DataFrame:
         .groupBy("from_wa_id")
         .applyInPandasWithState(update, "from_wa_id string, kept int, total long, last_message string", "kept array<string>, total long", "append", GroupStateTimeout.NoTimeout)
     )
+
+
+def strip_piece(held: str, piece: str, longest: int = 128) -> tuple[str, str]:
+    """What can be handed on of ``held`` and ``piece`` without citation marks, and what must be held back.
+
+    Held back are blanks at the end, which go with a mark that may follow, and a bracket that may still become a mark: not
+    closed, of ``longest`` characters at most, and followed by an S and a figure as far as it goes.
+    """
+    text = _MARK.sub("", held + piece)
+    at = len(text.rstrip(" \t"))
+    if (open_ := text.rfind("[")) >= 0 and "]" not in text[open_:] and len(text) - open_ <= longest and _OPEN.fullmatch(text[open_:]):
+        at = min(at, len(text[:open_].rstrip(" \t")))
+    return text[:at], text[at:]
+
+
+def without_citations(stream: DataFrame) -> DataFrame:
+    """``stream_id, seq, piece`` without the ``[S...]`` marks that may be spread over several pieces.
+
+    ``stream``: ``stream_id, seq, piece, last``; pieces of a stream come in order of ``seq``, also over micro-batches.  State is
+    the text held back, a mark's 128 characters and the blanks before it, until the piece that is the ``last`` one, after
+    which the stream's state is removed.
+    """
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, ended = state.get[0] if state.exists else "", False
+        rows = pd.concat(list(parts)).sort_values("seq")
+        out = []
+        for piece, last in zip(rows["piece"], rows["last"]):
+            said, held = strip_piece(held, piece or "")
+            if last:
+                said, held, ended = said + held, "", True
+            out.append(said)
+        if ended:
+            state.remove()
+        else:
+            state.update((held,))
+        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": rows["seq"].to_numpy(), "piece": out})
+
+    kind = {c: stream.schema[c].dataType.simpleString() for c in ("stream_id", "seq")}
+    schema = f"stream_id {kind['stream_id']}, seq {kind['seq']}, piece string"
+    return stream.groupBy("stream_id").applyInPandasWithState(update, schema, "held string", "append", GroupStateTimeout.NoTimeout)
