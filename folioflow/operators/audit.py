@@ -18,27 +18,26 @@ def nearest_rank_percentiles(df: DataFrame, by: list[str], value: str, percents:
     return counts.groupBy(*by).agg(*picks)
 
 
-def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...], buckets: int = 4096) -> DataFrame:
+def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...], buckets: int = 256) -> DataFrame:
     """``by..., share, value``: linearly interpolated percentiles of any numbers, exact, without holding a group.
 
-    Values are counted in ``buckets`` equal ranges; only values of the buckets in which a wanted rank falls are ordered.
-    Buckets are cut to a hundredth again where one holds much, by ordering within (group, bucket) only.
+    Equal values are counted first, map side.  Approximate percentiles of the counted values part each group into
+    ``buckets`` ranges of about as many distinct values, however they are spread; only the ranges in which a wanted rank
+    falls are ordered, one range a task.
     """
-    data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    ends = data.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_all"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    edges = counts.groupBy(*by).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_e"), F.sum("_c").alias("_all"))
     same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
-    placed = data.alias("d").join(ends.alias("e"), same("d", "e")).select(*[f"d.{c}" for c in by], "_v", "_lo", "_hi", "_all")
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = placed.withColumn("_b", bucket.cast("int"))
-    sizes = placed.groupBy(*by, "_b", "_all").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*by).orderBy("_b")) - F.col("_n"))
+    placed = counts.alias("d").join(edges.alias("e"), same("d", "e")).select(*[f"d.{c}" for c in by], "_v", "_c", "_all", F.size(F.filter("_e", lambda e: e <= F.col("_v"))).alias("_b"))
+    sizes = placed.groupBy(*by, "_b", "_all").agg(F.sum("_c").alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*by).orderBy("_b")) - F.col("_n"))  # ``buckets`` rows a group
     wanted = sizes.select(*by, "_b", "_before", "_n", "_all", F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"))
     wanted = wanted.withColumn("_at", F.col("share") * (F.col("_all") - 1)).withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
     wanted = wanted.where("_k >= _before and _k < _before + _n")
     keys = wanted.select(*by, "_b", "_before").distinct()
-    inside = placed.alias("p").join(keys.alias("k"), [*same("p", "k"), F.col("p._b") == F.col("k._b")]).select(*[f"p.{c}" for c in by], "p._b", "_v", "_before")
-    ranked = inside.withColumn("_k", F.row_number().over(W.partitionBy(*by, "_b").orderBy("_v")) - 1 + F.col("_before")).select(*by, "_k", "_v")
-    met = wanted.alias("w").join(ranked.alias("r"), [*same("w", "r"), F.col("w._k") == F.col("r._k")])
+    inside = placed.alias("p").join(keys.alias("k"), [*same("p", "k"), F.col("p._b") == F.col("k._b")]).select(*[f"p.{c}" for c in by], "p._b", "_v", "_c", "_before")
+    ranked = inside.withColumn("_upto", F.sum("_c").over(W.partitionBy(*by, "_b").orderBy("_v")) + F.col("_before")).select(*by, "_b", "_v", "_c", "_upto")
+    met = wanted.alias("w").join(ranked.alias("r"), [*same("w", "r"), F.col("w._b") == F.col("r._b"), F.col("w._k") < F.col("r._upto"), F.col("w._k") >= F.col("r._upto") - F.col("r._c")])
     weight = F.when(F.floor("_at") == F.ceil("_at"), 1.0).when(F.col("w._k") == F.floor("_at"), F.ceil("_at") - F.col("_at")).otherwise(F.col("_at") - F.floor("_at"))
     return met.groupBy(*[F.col(f"w.{c}") for c in by], "share").agg(F.sum(F.col("_v") * weight).alias("value"))
 

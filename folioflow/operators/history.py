@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as S
 
+from folioflow.functions import text as T
+
 
 def first_deliveries(inbound: DataFrame) -> DataFrame:
     """One row for each message id: the one received first.  Null and blank ids are refused."""
@@ -26,6 +28,15 @@ def latest_question(messages: DataFrame) -> DataFrame:
     return said.groupBy("from_wa_id").agg(F.max_by(F.struct("message_id", "text"), key).alias("m"), (F.count("*") - 1).alias("earlier")).select("from_wa_id", "m.message_id", "m.text", "earlier")
 
 
+def distinct_variants(variants: DataFrame, by: str, order: list[str], most: int = 4) -> DataFrame:
+    """Distinct ``variant`` texts of each ``by`` with their ``pos``: case and blanks make no difference, the first spelling
+    stands, ``most`` at most.  Null and blank ones are none.  Spellings are reduced map side, so ties go to the least text."""
+    key = F.lower(T.collapse(F.col("variant")))
+    first = variants.where(F.col(by).isNotNull()).withColumn("_k", key).where("_k <> ''").groupBy(by, "_k").agg(F.min(F.struct(*order, "variant")).alias("f"))
+    pos = F.row_number().over(W.partitionBy(by).orderBy("f", "_k"))
+    return first.withColumn("pos", pos).where(F.col("pos") <= max(1, most)).select(by, "pos", "f.variant", *[f"f.{c}" for c in order])
+
+
 _TEXT = S.StructType([S.StructField("body", S.StringType())])
 _IMAGE = S.StructType([S.StructField(n, S.StringType()) for n in ("id", "mime_type", "sha256", "caption")])
 _MESSAGE = S.StructType(

@@ -133,18 +133,14 @@ def grade_bands(spark, sf):
 
 
 @query(f"""
-WITH v AS (SELECT from_wa_id, message_id, trim(text) AS variant, {_norm_sql('text', '')} AS key, received_at FROM inbound WHERE trim(text) <> '' AND from_wa_id IS NOT NULL),
+WITH v AS (SELECT from_wa_id, message_id, trim(text) AS variant, trim(regexp_replace(lower(text), '[{_WS}]+', ' ', 'g')) AS key, received_at FROM inbound WHERE trim(text) <> '' AND from_wa_id IS NOT NULL),
      f AS (SELECT *, row_number() OVER (PARTITION BY from_wa_id, key ORDER BY received_at, message_id, variant) AS r FROM v WHERE key <> ''),
      g AS (SELECT *, row_number() OVER (PARTITION BY from_wa_id ORDER BY received_at, message_id, variant) AS pos FROM f WHERE r = 1)
 SELECT from_wa_id, CAST(pos AS INTEGER) AS pos, variant FROM g WHERE pos <= 4""")
 def query_variants(spark, sf):
     """Distinct questions of each sender, the first spelling of each, four at most."""
-    v = t(spark, sf, "inbound").where("trim(text) <> '' and from_wa_id is not null")
-    v = v.select("from_wa_id", "message_id", F.trim("text").alias("variant"), T.normalize_strict(F.col("text")).alias("key"), "received_at").where("key <> ''")
-    order = ["received_at", "message_id", "variant"]
-    first = v.withColumn("r", F.row_number().over(W.partitionBy("from_wa_id", "key").orderBy(*order))).where("r = 1")
-    kept = first.withColumn("pos", F.row_number().over(W.partitionBy("from_wa_id").orderBy(*order))).where("pos <= 4")
-    return kept.select("from_wa_id", "pos", "variant")
+    v = t(spark, sf, "inbound").select("from_wa_id", F.trim("text").alias("variant"), F.col("received_at").alias("at"), "message_id")
+    return history.distinct_variants(v, "from_wa_id", ["at", "message_id"]).select("from_wa_id", "pos", "variant")
 
 
 # search -------------------------------------------------------------------------------------------------------------
@@ -162,7 +158,14 @@ def hash_embedding(spark, sf):
     return e.select("doc_ord", "bucket", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(rf"""
+WITH w AS (SELECT doc_ord, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[{_WS}]+'), lambda x: x <> '')) AS tok FROM docs_indexed),
+     h AS (SELECT doc_ord, sha256(tok) AS h FROM w),
+     b AS (SELECT doc_ord, CAST(CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) % 384 AS INTEGER) AS bucket, CASE WHEN CAST('0x' || substr(h, 9, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM h),
+     g AS (SELECT doc_ord, bucket, sum(s) AS v FROM b GROUP BY ALL HAVING sum(s) <> 0), n AS (SELECT doc_ord, sqrt(sum(v * v)) AS n FROM g GROUP BY 1),
+     d AS (SELECT q.doc_ord AS query_id, d.doc_ord AS doc_id, sum(q.v * d.v) AS dot FROM g q JOIN g d USING (bucket) WHERE q.doc_ord % 20 = 0 AND q.doc_ord <> d.doc_ord GROUP BY ALL),
+     a AS (SELECT q.doc_ord AS query_id, x.doc_ord AS doc_id, round(coalesce(dot, 0) / (q.n * x.n), 9) AS score FROM n q JOIN n x ON q.doc_ord <> x.doc_ord LEFT JOIN d ON d.query_id = q.doc_ord AND d.doc_id = x.doc_ord WHERE q.doc_ord % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM a) WHERE rank <= 5""")
 def hash_knn(spark, sf):
     """The five chunks with the most similar hashed words, for each chunk whose ordinal is divisible by 20."""
     d = search.dense(search.hash_embedding(t(spark, sf, "docs_indexed"), "doc_ord"), "doc_ord")
@@ -209,17 +212,18 @@ def search_confidence(spark, sf):
 
 @query("""
 WITH v AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-     q AS (SELECT doc_id AS query_id, 1 AS group_ord, e FROM v WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id - 1, 2, e FROM v WHERE doc_id % 20 = 1),
+     q AS (SELECT doc_id AS query_id, 1 AS group_ord, e FROM v WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id, 2, list_transform(e, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0 END) FROM v WHERE doc_id % 20 = 0),
      s AS (SELECT query_id, group_ord, d.doc_id, round(list_cosine_similarity(q.e, d.e), 9) AS score FROM q, v d),
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_ord ORDER BY score DESC, doc_id) AS rank FROM s),
      m AS (SELECT query_id, doc_id, max(score) AS score, min(group_ord * 1000 + rank) AS first FROM r WHERE rank <= 8 AND score >= 0.15 GROUP BY ALL),
      o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM m)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM o WHERE rank <= 5""")
 def multi_query_merge(spark, sf):
-    """Two variants of each query, the vector and the one after it, merged by best score."""
+    """Two variants of each query, its vector and the vector with an empty second half, merged by best score."""
     e = t(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    asked = e.where("doc_id % 20 in (0, 1)").select(F.struct((F.col("doc_id") - F.col("doc_id") % 20).alias("query_id"), (F.col("doc_id") % 20 + 1).alias("group_ord")).alias("k"), "embedding")
-    asked = asked.select((F.col("k.query_id") * 10 + F.col("k.group_ord")).alias("query_id"), "embedding")
+    half = F.transform("embedding", lambda x, i: F.when(i < 32, x).otherwise(F.lit(0.0).cast("float")))
+    each = e.where("doc_id % 20 = 0").select("doc_id", F.posexplode(F.array(F.col("embedding"), half)).alias("i", "embedding"))
+    asked = each.select((F.col("doc_id") * 10 + F.col("i") + 1).alias("query_id"), "embedding")
     hits = search.exact_top_k(asked, e, 8, 64)
     hits = hits.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).alias("group_ord"), "rank", "doc_id", "score")
     return retrieval.merge_hits(hits, 5, 0.15).withColumn("score", F.round("score", 6))
@@ -304,12 +308,8 @@ SELECT w.doc_ord, found AS extracted_pages, w.end_page - w.start_page + 1 AS pag
 FROM w JOIN c USING (doc_ord)""")
 def window_coverage(spark, sf):
     """How many pages of each indexed window the corpus has: pages are exploded to an equi-join."""
-    pages = t(spark, sf, "corpus").where("metadata.page > 0").select(F.col("metadata.source_id").alias("source_id"), F.col("metadata.page").alias("page"), F.lit(1).alias("has")).distinct()
-    w = t(spark, sf, "docs_indexed").where("start_page <= end_page and source_id is not null").select("doc_ord", "source_id", "start_page", "end_page")
-    each = w.withColumn("page", F.explode(F.sequence("start_page", "end_page"))).join(pages, ["source_id", "page"], "left")
-    got = each.groupBy("doc_ord").agg(F.count("has").alias("extracted_pages"), F.count("*").cast("int").alias("page_total"))
-    status = F.when(F.col("extracted_pages") == 0, "none").when(F.col("extracted_pages") < F.col("page_total"), "partial").otherwise("full")
-    return got.select("doc_ord", "extracted_pages", "page_total", F.round(F.col("extracted_pages") / F.col("page_total"), 4).alias("coverage"), status.alias("status"))
+    pages = t(spark, sf, "corpus").where("metadata.page > 0").select(F.col("metadata.source_id").alias("source_id"), F.col("metadata.page").alias("page"))
+    return retrieval.page_coverage(t(spark, sf, "docs_indexed").select("doc_ord", "source_id", "start_page", "end_page"), pages)
 
 
 @query("SELECT c.ord, c.id FROM corpus c WHERE c.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs_indexed d WHERE d.parent_id = c.id)")
@@ -509,9 +509,8 @@ SELECT source_id || ':w' || format('{:03d}', (start_page + 1) // 2) AS window_id
 def window_plan(spark, sf):
     """Windows of two pages over each book, with the planning estimate of tokens."""
     books = t(spark, sf, "corpus").where("metadata.page > 0 and metadata.source_id is not null").groupBy(F.col("metadata.source_id").alias("source_id")).agg(F.max("metadata.page").alias("pages"))
-    w = books.select("source_id", "pages", F.explode(F.sequence(F.lit(1), F.col("pages"), F.lit(2))).alias("start_page")).withColumn("end_page", F.least(F.col("start_page") + 1, F.col("pages")))
-    number = ((F.col("start_page") + 1) / 2).cast("int")
-    return w.select(F.format_string("%s:w%03d", "source_id", number).alias("window_id"), "source_id", "start_page", "end_page", (258 * (F.col("end_page") - F.col("start_page") + 1)).alias("token_estimate"))
+    w = retrieval.plan_windows(books, 2)[0]
+    return w.select("window_id", "source_id", "start_page", "end_page", (258 * (F.col("end_page") - F.col("start_page") + 1)).alias("token_estimate"))
 
 
 @query("""

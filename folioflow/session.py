@@ -26,11 +26,16 @@ def build_session(app: str = "folioflow", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only a session without one gets a folder of its own."""
+    """Use the shared folder named by ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+
+    On a cluster executors would write to folders of their own machines, so a session there must name a shared one.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 

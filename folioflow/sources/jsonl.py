@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as S
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as S
 
 METADATA = S.MapType(S.StringType(), S.StringType())
 DOCUMENT = S.StructType([S.StructField("id", S.StringType()), S.StructField("text", S.StringType()), S.StructField("metadata", METADATA)])
@@ -24,8 +24,10 @@ def read_counting(spark: SparkSession, path: str, schema: S.StructType = DOCUMEN
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``id, text, metadata`` of records with both id and text; missing metadata is empty, blank texts are left out."""
-    rows = read_strict(spark, path).where("id is not null and trim(text) <> ''")
+    """``id, text, metadata`` of all records; missing metadata is empty, records with a blank text are left out, and a record
+    without an id or a text fails the read where it is met."""
+    lacking = F.col("id").isNull() | F.col("text").isNull()
+    rows = read_strict(spark, path).withColumn("id", F.when(lacking, F.raise_error(F.lit("a record lacks its id or text"))).otherwise(F.col("id"))).where("trim(text) <> ''")
     return rows.withColumn("metadata", F.coalesce("metadata", F.create_map().cast(METADATA)))
 
 
@@ -42,11 +44,14 @@ def read_docstore(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
-    """``source_id, page_number, text`` of ``root/<source>/pages.jsonl``: the last row of a page counts, pages under 1 are left out."""
-    schema = S.StructType([S.StructField("page_number", S.IntegerType()), S.StructField("text", S.StringType()), S.StructField("line_ord", S.IntegerType())])
+    """``source_id, page_number, text`` of ``root/<source>/pages.jsonl``: the last row of a page counts, pages under 1 are left out.
+
+    The place of a row in its file is the begin of its block and its place in the task that reads the block.
+    """
+    schema = S.StructType([S.StructField("page_number", S.IntegerType()), S.StructField("text", S.StringType())])
     rows = spark.read.schema(schema).json(f"{root}/*/pages.jsonl").withColumn("source_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/pages\.jsonl$", 1))
-    last = W.partitionBy("source_id", "page_number").orderBy(F.desc_nulls_last("line_ord"))
-    return rows.where("page_number > 0").withColumn("_r", F.row_number().over(last)).where("_r = 1").select("source_id", "page_number", "text")
+    rows = rows.select("source_id", "page_number", "text", F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
+    return rows.where("page_number > 0").groupBy("source_id", "page_number").agg(F.max_by("text", "at").alias("text"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

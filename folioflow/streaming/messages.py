@@ -65,8 +65,9 @@ def deduplicated(stream: DataFrame, ttl: str = "2 days") -> DataFrame:
 def conversation_sizes(stream: DataFrame, turns: int = 6) -> DataFrame:
     """``from_wa_id, kept, total, last_message``: the size of each conversation's kept history after each of its micro-batches.
 
-    State is the last ``2 * turns`` message ids of a sender, whatever the number of messages; a batch of a sender's messages
-    is read piece by piece.
+    State is the last ``2 * turns`` message ids of a sender, whatever the number of messages, and is kept while the query
+    runs (a timeout by processing time would keep a query that runs to the end of its input from ending); a batch of a
+    sender's messages is read piece by piece.
     """
     size = 2 * turns
 
