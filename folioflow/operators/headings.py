@@ -155,3 +155,25 @@ def chapter_mentions(questions: DataFrame, docs: DataFrame, k: int = 5) -> DataF
     q = questions.alias("q")
     same: Column = (F.col("q.chapter") == F.col("m.chapter")) & F.col("q.subject").eqNullSafe(F.col("m.hs")) & F.col("q.grade").eqNullSafe(F.col("m.hg"))
     return q.join(met, same).select("question_id", "rank", "doc_id", "score")
+
+
+def best_annotated(pages: DataFrame, by: list[str], score: str, page: str, needed: str | None = None) -> DataFrame:
+    """The row of each ``by`` with the highest ``score`` (null lowest), then the smallest ``page``; with ``needed`` only of rows
+    that have that field and no blank in its place.  Found by grouping, map side first; further ties by all other columns."""
+    rows = pages if needed is None else pages.where(F.trim(needed) != "")
+    rest = [c for c in pages.columns if c not in (*by, score, page)]
+    order = F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("less"), page, *rest)
+    best = rows.groupBy(*by).agg(F.min(order).alias("b"))
+    return best.select(*by, (-F.col("b.less")).alias(score), f"b.{page}", *[f"b.{c}" for c in rest])
+
+
+def clear_routes(hits: DataFrame, lead: float = 0.05) -> DataFrame:
+    """``question_id, source_id, reason``: the book that a question's entries point to, if it is clear.
+
+    ``hits``: ``question_id, source_id, score``.  It is if all entries are of one book (``single_source``), or if the best entry of
+    one book leads those of all others by ``lead`` or more (``leading_title``).  Null sources point nowhere.
+    """
+    best = hits.where("source_id is not null").groupBy("question_id", "source_id").agg(F.max("score").alias("s"))
+    two = best.groupBy("question_id").agg(F.count("*").alias("n"), F.max(F.struct("s", "source_id")).alias("a"), F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 2).alias("b"))
+    led = F.round(F.col("a.s") - F.get("b", F.lit(1)), 9) >= lead
+    return two.where((F.col("n") == 1) | led).select("question_id", F.col("a.source_id").alias("source_id"), F.when(F.col("n") == 1, "single_source").otherwise("leading_title").alias("reason"))

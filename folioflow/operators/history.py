@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as S
 
 from folioflow.functions import text as T
@@ -80,3 +81,28 @@ def as_payloads(inbound: DataFrame) -> DataFrame:
     )
     value = F.struct(F.struct("phone_number_id").alias("metadata"), contact.alias("contacts"), F.array(message).alias("messages"))
     return inbound.select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(value.alias("value"))).alias("changes"))).alias("entry"))).alias("payload"))
+
+
+def cut_message(text: str | None, limit: int = 1400) -> list[str]:
+    """Parts of at most ``limit`` characters, without blanks around them: cut at the last line end, else the last blank, in
+    the second half of the limit, else hard.  A null or blank text has none."""
+    rest, parts = (text or "").strip(), []
+    while len(rest) > limit:
+        head = rest[: limit + 1]
+        at = max(head.rfind("\n"), -1)
+        if at < limit // 2:
+            at = head.rfind(" ")
+        at = at if at >= limit // 2 else limit
+        parts.append(rest[:at].rstrip())
+        rest = rest[at:].lstrip()
+    return [*parts, rest] if rest else parts
+
+
+@F.pandas_udf(S.ArrayType(S.StringType()))
+def _parts(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([cut_message(t, int(n)) for t, n in zip(texts, limits)])
+
+
+def message_parts(df: DataFrame, key: str, text: str, limit: int = 1400) -> DataFrame:
+    """``key, part_no, part``: texts as messages of at most ``limit`` characters, in Arrow batches."""
+    return df.select(key, F.posexplode(_parts(F.col(text), F.lit(limit))).alias("part_no", "part"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import citations as C, evaluation as E
+from folioflow.operators import citations as C, evaluation as E, history
 from folioflow.plans.catalog import _CHUNK, _TOKENS, _chunk_hits
 from folioflow.plans.registry import query
 from folioflow.session import read_table as t
@@ -256,3 +256,12 @@ def stream_strip_citations(spark, sf):
     out = streams.run_to_end(streams.without_citations(streams.file_stream(spark, f"{folder}/pieces")))
     made = out.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("p"))
     return made.select(F.col("stream_id").alias("doc_ord"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("plain"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM documents WHERE regexp_full_match(text, '[!-~ \\n]*') AND trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) <> ''")
+def message_parts(spark, sf):
+    """Documents of plain signs cut into messages of 200 characters at blanks, and put together again by a blank."""
+    d = t(spark, sf, "documents").where(F.col("text").rlike("^[!-~ \n]*$")).select("doc_id", F.trim(F.regexp_replace("text", "[ \n]+", " ")).alias("text"))
+    parts = history.message_parts(d.where(F.col("text") != ""), "doc_id", "text", 200).where("length(part) between 1 and 200")
+    made = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part_no", "part"))).alias("p"))
+    return made.select("doc_id", F.array_join(F.transform("p", lambda x: x["part"]), " ").alias("text"))

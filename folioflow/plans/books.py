@@ -419,3 +419,25 @@ def chosen_producer(spark, sf):
     rows = t(spark, sf, "toc")
     of = lambda kind: rows.where(F.col("heading_source") == kind)
     return toctree.choose_producer(of("frontmatter"), of("page_heading"), of("window_text")).groupBy("heading_source").agg(F.count("*").alias("entries"))
+
+
+@query("SELECT source_id, heading_score, page, ord, frontmatter_chapter_title FROM toc WHERE trim(frontmatter_chapter_title) <> '' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY heading_score DESC NULLS LAST, page NULLS FIRST, ord) = 1")
+def best_annotated_entries(spark, sf):
+    """Of the entries of a book that have a front-matter title the one with the best score, on the first page."""
+    rows = t(spark, sf, "toc").select("source_id", "heading_score", "page", "ord", "frontmatter_chapter_title")
+    return headings.best_annotated(rows, ["source_id"], "heading_score", "page", "frontmatter_chapter_title")
+
+
+@query(f"""
+WITH {_QUESTIONS},
+     e AS (SELECT ord, source_id, lower(trim(subject)) AS es, trim(grade_band) AS eg, {_norm('chapter_title', '')} AS title FROM toc WHERE chapter_title IS NOT NULL),
+     m AS (SELECT question_id, ord, source_id, 0.62 * len(list_intersect(tokens, string_split(title, ' '))) / len(list_distinct(tokens)) + CASE WHEN contains(title, array_to_string(tokens, ' ')) THEN 0.38 ELSE 0 END AS s
+           FROM q JOIN e ON (hs IS NULL OR es IS NULL OR hs = es) AND (hg IS NULL OR eg IS NULL OR hg = eg) WHERE question_id % 20 = 0 AND len(tokens) > 0 AND title <> ''),
+     r AS (SELECT *, round(0.7 + 0.3 * s, 6) AS score FROM m WHERE s >= 0.5),
+     k AS (SELECT question_id, source_id, max(score) AS s FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord) AS rank FROM r) WHERE rank <= 5 AND source_id IS NOT NULL GROUP BY ALL),
+     o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, source_id DESC) AS n, lead(s) OVER (PARTITION BY question_id ORDER BY s DESC, source_id DESC) AS next FROM k)
+SELECT question_id, source_id, CASE WHEN next IS NULL THEN 'single_source' ELSE 'leading_title' END AS reason FROM o WHERE n = 1 AND (next IS NULL OR round(s - next, 9) >= 0.05)""")
+def clear_routes(spark, sf):
+    """The book that every twentieth line points to by its title words, where that is clear."""
+    hits = title_lookup(spark, sf).join(t(spark, sf, "toc").select("ord", "source_id"), "ord")
+    return headings.clear_routes(hits)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import citations as C, evaluation as E
+from folioflow.operators import citations as C, evaluation as E, headings, history
 from folioflow.sources import evaluation as R
 from folioflow.streaming import messages as M
 
@@ -62,6 +62,19 @@ def test_evaluated_rows_and_matrix(spark):
     assert {r.name: r.value for r in E.evaluation_summary(rows.limit(0)).collect()}["strict_pass_rate"] is None
 
 
+def test_messages_are_cut_at_blanks(spark):
+    assert history.cut_message("one two\nthree four", 10) == ["one two", "three four"] and history.cut_message("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+    assert history.cut_message(None) == history.cut_message(" \n") == [] and history.cut_message("a " + "b" * 12, 10) == ["a " + "b" * 8, "b" * 4]
+    df = spark.createDataFrame([(1, "aa bb cc"), (2, None)], "i int, t string")
+    assert [tuple(r) for r in history.message_parts(df, "i", "t", 5).collect()] == [(1, 0, "aa bb"), (1, 1, "cc")]
+
+
+def test_clear_routes(spark):
+    hits = [(1, "a", 0.9), (1, "a", 0.8), (2, "a", 0.9), (2, "b", 0.86), (3, "a", 0.9), (3, "b", 0.85), (4, None, 0.9), (5, "b", 0.7), (5, None, 0.7)]
+    got = {tuple(r) for r in headings.clear_routes(spark.createDataFrame(hits, "question_id int, source_id string, score double")).collect()}
+    assert got == {(1, "a", "single_source"), (3, "a", "leading_title"), (5, "b", "single_source")}
+
+
 def test_thresholds_skip_what_is_not_measured(spark):
     metrics = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", None)], "name string, value double")
     checks = E.threshold_checks(metrics, {"min_a": 0.4, "max_b": 0.4, "min_c": 0, "min_d": 0}, ("a", "c", "d"))

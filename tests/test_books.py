@@ -82,7 +82,7 @@ def test_front_matter_rows(spark):
     tree = toctree.chapter_tree(spark.createDataFrame(rows, "ord int, source_id string, kind string, chapter_number string, title string, start_page int, end_page int"))
     counts = spark.createDataFrame([("s", 122)], "source_id string, pages int")
     got = {r.chapter_number: (r.title, r.start_page, r.end_page, r.origin, r.score, len(r.warnings)) for r in toctree.tree_rows(tree, counts).collect()}
-    assert got == {"2": ("فصل 2 نیرو", 120, 122, "topic_title", 7.5, 1), "1": ("Light", 3, 9, "topic_only", 7.25, 0)} or got["2"] == ("فصل 2 نیرو", 120, 122, "topic_title", 7.5, 1)
+    assert got["2"] == ("فصل 2 نیرو", 120, 122, "topic_title", 7.5, 1) and [v[:5] for k, v in got.items() if k != "2"] == [("Light", 3, 9, "topic_only", 7.25)]
     assert "3" not in got and toctree.tree_rows(tree.limit(0), counts).count() == 0
     with pytest.raises(Exception):
         headings.page_candidates(spark.createDataFrame([(1,)], "key int"))
