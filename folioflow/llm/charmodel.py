@@ -16,6 +16,16 @@ def code_points(texts: list[str | None]) -> np.ndarray:
     return np.frombuffer("\n".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def code_blocks(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """Texts one after the other in blocks that end where ``size`` characters are reached: number of the first, texts, code points."""
+    first = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= size or i + 1 == len(texts):
+            yield first, (part := texts[first : i + 1]), code_points(part)
+            first, held = i + 1, 0
+
+
 def _counted(df: DataFrame, text: Column, count, schema: str) -> DataFrame:
     return df.select(text.alias("_text")).where("_text is not null").mapInArrow(count, schema)
 

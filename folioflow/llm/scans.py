@@ -16,15 +16,15 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from unicodedata import combining
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from folioflow.llm.charmodel import code_points, costs_of
-from folioflow.llm.encoding import Repair, is_suspect
+from folioflow.llm.charmodel import code_blocks, costs_of
+from folioflow.llm.encoding import Repair, is_suspect, suspects
 from folioflow.llm.lookalike import compatible
 from folioflow.session import cut
 
@@ -81,6 +81,7 @@ _ONE_SIGN = re.compile(r"([^\W\d_]+)([^\w\s'’ʼ.:/?\ufffd-]|\d)([^\W\d_]+)")
 _ARABIC_LETTER, _LATIN_LETTER = re.compile("[\u0620-\u06ff]"), re.compile("[a-z]")
 _LINE_END = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
 _BREAK = re.compile("[^\\W\\d_]([-‐‑¬\u00ad])$")
+_BREAK_SIGNS = ("-", "‐", "‑", "¬", "\u00ad")
 
 
 class _Plain(dict):
@@ -140,21 +141,27 @@ class Channel:
 
 
 class _Ids(dict):
-    """Word -> id of a common word; -1 for others that may be misread, -2 for what is never looked at."""
+    """Token -> id of its word if that is common; -1 for other words that may be misread, -2 for what is never looked at.
+    Kept while there are not too many."""
 
     def __init__(self, common: list[str], channel: Channel):
-        super().__init__({w: i for i, w in enumerate(common)})
-        self.channel, self.limit = channel, len(common) + 300_000
+        self.common, self.channel = {w: i for i, w in enumerate(common)}, channel
 
-    def __missing__(self, word: str) -> int:
-        kind = -1 if self.channel.may_be_misread(word) else -2
-        if len(self) <= self.limit:
-            self[word] = kind
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        word = _PLAIN_WORDS[token]
+        kind = self.common.get(word, -1)
+        if kind < 0 and not self.channel.may_be_misread(word):
+            kind = -2
+        self[token] = kind
         return kind
 
 
 def split_lines(text: str) -> list[str]:
-    return _LINE_END.split(text)
+    if "\r" in text or "\x85" in text or "\u2028" in text or "\u2029" in text:
+        return _LINE_END.split(text)
+    return text.split("\n")
 
 
 def page_lines(lines: list[str]) -> list[bool]:
@@ -181,14 +188,15 @@ def page_lines(lines: list[str]) -> list[bool]:
     return out
 
 
-_DECKED = re.compile(rf"[*=~_•·|—–]|\s-\s|^[{_DIGITS}]|[{_DIGITS}]\W*$")
+#: What a line with ornaments or a page number has: each begins with few signs, as these are searched for fast.
+_DECKED = tuple(map(re.compile, (r"[*=~_•·|—–]", r"-(?<=\s-)\s", rf"[{_DIGITS}](?:(?<=^[{_DIGITS}])|\W*$)")))
 _PAGED = re.compile(rf"^{_NUMBER}\s*[|•·]?\s+|\s+[|•·]?\s*{_NUMBER}$")
 _DASH = re.compile(r"\s+[—–|-]\s+")
 
 
 def header_form(line: str) -> list[str]:
     """Titles that a line may show: without ornaments, with and without a number at its begin or end; both parts around a dash."""
-    if not _DECKED.search(line):
+    if not any(deck.search(line) for deck in _DECKED):
         return [title_form(line)]
     s = line.strip().strip("*=~_•· ").strip()
     parts = {s, _PAGED.sub("", s).strip("*|•· ").strip()}
@@ -199,32 +207,38 @@ def header_form(line: str) -> list[str]:
 
 #: Words that head an exercise, which is no running header.
 _EXERCISE = re.compile(rf"^(?:exercise|question|task|problem|تمرین|تمرين|پوښتنه|سؤال|سوال|پرسش|مسئله|فعالیت)\W*[{_DIGITS}]*\W*$", re.IGNORECASE)
+_ENDED = re.compile(r"[.؟?!]\s")
+_PAGE_EDGE = re.compile(rf"\s{_NUMBER}$|^{_NUMBER}\s\s")
 
 
 def stray_lines(lines: list[str], paged: list[bool]) -> list[bool]:
     """Lines that stand in wrapped text but are no part of it: short although the next word would have fit, without an end
     of sentence, and no list entry, answer or exercise heading.  These are running headers whose title no table has."""
-    full = [k for k, s in enumerate(lines) if s.strip() and not paged[k]]
+    stripped = [line.strip() for line in lines]
+    full = [k for k, s in enumerate(stripped) if s and not paged[k]]
     out = [False] * len(lines)
     if len(full) < 4:
         return out
-    widths = sorted(len(lines[k].strip()) for k in full)
+    widths = sorted(len(stripped[k]) for k in full)
     width = widths[int(0.8 * (len(widths) - 1))]
     listing = False
     for at, k in enumerate(full):
-        s = lines[k].strip()
+        s = stripped[k]
         if _ANSWERS.match(s):
             listing = True
             continue
         listing = listing and bool(_NUMBERED.match(s) or _PLAIN.match(s))
-        if listing or re.search(r"[.؟?!]\s", s) or s[-1] in ".!?؟:;؛,،)»”\"-‐¬\u00ad" or _NUMBERED.match(s) or _PLAIN.match(s) or _EXERCISE.match(s):
+        if listing or len(s) >= 0.85 * width:
+            continue
+        after = stripped[full[at + 1]] if at + 1 < len(full) else ""
+        if len(s) + 1 + len(after.split(" ")[0]) > width - 4:
+            continue
+        if s[-1] in ".!?؟:;؛،,)»”\"-‐¬\u00ad" or _ENDED.search(s) or _NUMBERED.match(s) or _PLAIN.match(s) or _EXERCISE.match(s):
             continue
         if s[0].isalpha() and s[0].isascii() and not s[0].isupper():
             continue
-        after = next((lines[j].strip() for j in full[at + 1 :]), "")
-        ornament = s[0] == s[-1] == "*" or " | " in s or re.search(rf"\s{_NUMBER}$|^{_NUMBER}\s\s", s)
-        room = len(s) + 1 + len(after.split(" ")[0]) <= width - 4 and len(s) < 0.85 * width
-        if room and (ornament or (after and len(after) > 0.6 * width and (at > 0 or len(s.split()) <= 8))):
+        ornament = s[0] == s[-1] == "*" or " | " in s or _PAGE_EDGE.search(s)
+        if ornament or (after and len(after) > 0.6 * width and (at > 0 or len(s.split()) <= 8)):
             out[k] = True
     return out
 
@@ -296,10 +310,10 @@ def word_counts(texts: DataFrame, raw: bool = True) -> DataFrame:
 
         chars = np.zeros(0x10001, np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if raw:
-                chars += np.bincount(np.minimum(code_points(texts), 0x10000), minlength=0x10001)
-            later = [i for i, text in enumerate(texts) if is_suspect(text)] if raw else []
+            texts, later = batch.column(1).to_pylist(), []
+            for first, part, codes in code_blocks(texts) if raw else ():
+                chars += np.bincount(np.minimum(codes, 0x10000), minlength=0x10001)
+                later += [first + i for i in suspects(part, codes)]
             if later:
                 ords, titles = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 yield table(ord=[ords[i] for i in later], text=[texts[i] for i in later], title=[titles[i] for i in later], n=[1] * len(later))
@@ -453,15 +467,17 @@ def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int, c
         for batch in batches:
             rows: list[tuple] = []
             seen = array("i")  # ids of all words in order, -2 between records
-            for ord_, text, title, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if raw and is_suspect(text):
+            ords, texts, titles, raws = (c.to_pylist() for c in batch.columns)
+            later = {first + i for first, part, codes in code_blocks(texts) for i in suspects(part, codes)} if any(raws) else ()
+            for at, (ord_, text, title, raw) in enumerate(zip(ords, texts, titles, raws)):
+                if raw and at in later:
                     continue
                 lines = split_lines(text)
                 several = len(lines) > 1
                 paged = page_lines(lines) if several else [False]
                 stray = stray_lines(lines, paged) if several else [False]
                 own = title_form(title) if several and title else None
-                last = ""
+                before: list[list[str]] = []  # tokens of the record's lines so far
                 for i, line in enumerate(lines):
                     if paged[i]:
                         rows.append(("P", ord_, i, None, None, None, None, None, None))
@@ -474,21 +490,21 @@ def _marks(corpus: DataFrame, mended: DataFrame, common: list[str], sure: int, c
                                 rows.append(("T", ord_, i, None, form, None, None, None, None))
                             elif len(form) > 2:
                                 rows.append(("H", ord_, i, None, form, None, None, None, None))
-                    words = words_of(line)
-                    if several and i + 1 < len(lines) and (m := _BREAK.search(line.rstrip())) and words[-1:] != [""]:
+                    tokens = line.lower().split()
+                    if several and i + 1 < len(lines) and (end := line.rstrip()).endswith(_BREAK_SIGNS) and (m := _BREAK.search(end)) and tokens and _PLAIN_WORDS[tokens[-1]]:
                         after = next((lines[j].split() for j in range(i + 1, len(lines)) if lines[j].strip() and not paged[j] and not stray[j]), None)
                         if after and after[0][0].isalpha():
-                            left, right = compatible(line.rstrip().split()[-1].lower()[:-1]).lstrip(_EDGE), compatible(after[0].lower()).strip(_EDGE)
+                            left, right = compatible(end.split()[-1].lower()[:-1]).lstrip(_EDGE), compatible(after[0].lower()).strip(_EDGE)
                             rows.append(("B", ord_, i, None, left, right, m.group(1), None, None))
-                    kinds_ = list(map(ids.__getitem__, words))
-                    seen.extend(kinds_)
+                    kinds_ = list(map(ids.__getitem__, tokens))
+                    seen.fromlist(kinds_)
                     if -1 in kinds_ or max(kinds_, default=-2) >= sure:
                         for j, k in enumerate(kinds_):
                             if k == -1 or k >= sure:
-                                before = next((w for w in reversed(words[:j]) if w), last)
-                                after = next((w for w in words[j + 1 :] if w), "")
-                                rows.append(("W", ord_, i, j, words[j], before, after, k if k >= 0 else None, None))
-                    last = next((w for w in reversed(words) if w), last)
+                                last = next(filter(None, map(_PLAIN_WORDS.__getitem__, chain(reversed(tokens[:j]), chain.from_iterable(map(reversed, reversed(before)))))), "")
+                                following = next(filter(None, map(_PLAIN_WORDS.__getitem__, tokens[j + 1 :])), "")
+                                rows.append(("W", ord_, i, j, _PLAIN_WORDS[tokens[j]], last, following, k if k >= 0 else None, None))
+                    before.append(tokens)
                 seen.append(-2)
             yield table(rows)
             known = np.frombuffer(seen, np.int32).astype(np.int64) if seen else np.zeros(0, np.int64)

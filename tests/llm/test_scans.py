@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 
@@ -190,3 +191,32 @@ def test_words_of_garbled_texts_count(spark):
     toc = spark.createDataFrame([], "chapter_title string, title string, frontmatter_chapter_title string")
     got = [(r.ord, r.defect, r.seen, r.meant) for r in scans.scan_defects(corpus, toc).collect()]
     assert got == [(40, "misread", "معلو*", "معلوم")] * 2
+
+
+def test_quick_line_tests_find_what_plain_ones_do():
+    rnd = random.Random(9)
+    deck = re.compile(rf"[*=~_•·|—–]|\s-\s|^[{scans._DIGITS}]|[{scans._DIGITS}]\W*$")
+    for _ in range(4000):
+        text = "".join(rnd.choice(["a", "ب", "7", "۷", " ", "-", "—", "*", ".", "\n", "\r", "\r\n", "\x85", "\u2028"]) for _ in range(rnd.randint(0, 7)))
+        assert scans.split_lines(text) == scans._LINE_END.split(text)
+        assert any(d.search(text) for d in scans._DECKED) == (deck.search(text) is not None)
+
+
+def test_texts_without_suspects_are_not_read_one_by_one(monkeypatch):
+    """The pass over all texts looks up their signs together."""
+    import pyarrow as pa
+
+    class Source:
+        def mapInArrow(self, run, _):  # noqa: N802
+            names = ["ord", "text", "title"]
+            texts = [BODY, "متن پاک است", ""] * 20
+            self.out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(60), pa.int32()), pa.array(texts), pa.nulls(60, pa.string())], names=names)])))
+            raise StopIteration
+
+    monkeypatch.setattr("folioflow.llm.encoding.is_suspect", lambda text: pytest.fail("read"))
+    monkeypatch.setattr(scans, "is_suspect", lambda text: pytest.fail("read"))
+    source = Source()
+    with pytest.raises(StopIteration):
+        scans.word_counts(source)
+    counted = {r["word"]: r["n"] for b in source.out for r in b.to_pylist() if r["word"]}
+    assert counted["متن"] == 20 and counted["enzyme"] == 40
